@@ -34,3 +34,76 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_warc",
+    """
+    with p as (
+      select page_id, encode(coalesce(html, '')) as b from pages
+    ), d as (
+      select page_id, octet_length(b) as n, sha1(b) as h from p
+    ), k as (
+      select h, max(page_id) as keeper from d where n >= 1000 group by h
+    )
+    select d.page_id, cast(n as bigint) as payload_bytes, d.h as payload_digest,
+      case when keeper is null or d.page_id = keeper then 'response' else 'revisit' end as record_type,
+      case when keeper is not null and d.page_id <> keeper then keeper end as refers_to
+    from d left join k on d.n >= 1000 and d.h = k.h
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .warc import plan_records, read_warc, write_warc
+
+    records = read_warc(write_warc(plan_records(load(spark, sf_dir, "pages"))), payloads=False)
+
+    def page(c: str):
+        digits = F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+        return F.when(digits != "", digits).cast("long")
+
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+@query(
+    "op10_mixing",
+    """
+    with d as (
+      select doc_id, source, text,
+        cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+        md5('7:' || cast(doc_id as varchar)) as h
+      from documents
+    ), s as (
+      select source, cast(sum(size) as bigint) as source_size,
+        1.0 + (row_number() over (order by source asc nulls last) - 1) % 3 as weight
+      from d group by source
+    ), c as (
+      select source, cast(source_size as double) as source_size, cast(weight as double) as weight,
+        3.0 * source_size as cap from s
+    ), r as (
+      select *, cap / weight as ratio,
+        (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls first rows between unbounded preceding and 1 preceding), 0))
+        / sum(weight) over (order by cap / weight, source nulls first rows between current row and unbounded following) as level_here
+      from c
+    ), t as (
+      select source, source_size, least(cap, weight * coalesce(min(case when ratio >= level_here then level_here end) over (), 1e300)) as target from r
+    ), e as (
+      select source, cast(source_size as bigint) as source_size, target,
+        case when source_size > 0 then cast(floor(round(target) / source_size) as bigint) else 0 end as passes
+      from t
+    ), w as (
+      select d.doc_id, d.source, d.size, e.source_size, e.target, e.passes,
+        cast(round(e.target) as bigint) - e.passes * e.source_size as part,
+        coalesce(sum(d.size) over (partition by d.source order by d.h, d.doc_id, d.text rows between unbounded preceding and 1 preceding), 0) as start
+      from d join e on d.source is not distinct from e.source
+    )
+    select doc_id, size, source_size, target,
+      cast(passes * size + greatest(0, least(size, part - start)) as bigint) as taken
+    from w
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan_mix
+
+    return plan_mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -52,7 +52,7 @@ def token_file(ids: np.ndarray, sequence: int) -> bytes:
     return arrow_file(pa.RecordBatch.from_arrays(lists, ["ids", "mask"]))
 
 
-def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end: int = 2, sequence: int = 2048, file_tokens: int = 4_000_000, partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end: int = 2, sequence: int = 2048, file_tokens: int = 1_000_000, partitions: int | None = None) -> DataFrame:
     """The shard table (columns of SHARD), written to the shared folder and read back."""
     spark = docs.sparkSession
     ship(spark)

@@ -7,11 +7,12 @@ repeats its words, so each worker keeps the ids of the pre-tokens it has met and
 from __future__ import annotations
 
 import os
+from itertools import chain, islice
 
 import numpy as np
 
 #: Pre-tokens a worker remembers before it starts afresh; bounds its memory, never changes a result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -29,6 +30,21 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+class Words(dict):
+    """Numbers pre-tokens in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself where it prints, else the next from U+0100."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Texts to arrays of ids. Special tokens' strings in a text are ordinary text."""
 
@@ -38,72 +54,46 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path).model
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = regex.compile(r" ?\p{L}+").fullmatch
-        self.newline = self._ids("\n")
+        self.letters = byte_letters()
         self._reset()
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Words()
         self.flat = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new pre-tokens. Words of letters go in one text, a new line between them, which costs a call less each."""
-        plain = [w for w in words if self.plain(w)] if len(self.newline) == 1 else []
-        known = set(plain)
-        other = [w for w in words if w not in known]
-        rows = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        if plain:
-            ids = np.array(self._ids("\n".join(plain)), np.uint32)
-            rows += np.split(ids, np.flatnonzero(ids == self.newline[0]))
-            first = len(other)
-            rows[first + 1 :] = [r[1:] for r in rows[first + 1 :]]
-        words = other + plain
-        if len(rows) != len(words):  # a vocabulary that joins over the new line
-            rows = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        at = len(self.index)
-        self.index.update(zip(words, range(at, at + len(words))))
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        ends = self.ends[-1] + np.cumsum(lengths)
+    def _learn(self) -> None:
+        """The library's ids of the pre-tokens that were numbered since the last call."""
+        words = list(islice(self.index, len(self.ends) - 1, None))
+        tokenize, letters = self.model.tokenize, self.letters
+        rows = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
+        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.ends[-1] : ends[-1]] = np.concatenate(rows)
+        self.flat[self.ends[-1] : ends[-1]] = np.fromiter(chain.from_iterable(rows), np.uint32, int(ends[-1] - self.ends[-1]))
         self.ends = np.concatenate([self.ends, ends])
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """For each text its ids (uint32), and end after them; a null text is empty."""
-        out: list[np.ndarray] = []
-        group: list[list[str]] = []
-        size = 0
-        for text in texts:
-            group.append(self.find(text) if text else [])
-            size += len(group[-1])
-            if size > 300_000:
-                out += self._gather(group, end)
-                group, size = [], 0
-        return out + self._gather(group, end)
-
-    def _gather(self, group: list[list[str]], end: int) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        new = list(set().union(*group).difference(self.index)) if group else []
-        if new:
-            self._learn(new)
-        out = []
-        for words in group:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-            total = int(lengths.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[total] = end
-            if total:
-                first = np.cumsum(lengths) - lengths
-                ids[:total] = self.flat[np.arange(total) + np.repeat(starts - first, lengths)]
-            out.append(ids)
-        return out
+        number = self.index.__getitem__
+        at = []
+        for text in texts:
+            words = self.find(text) if text else []
+            at.append(np.fromiter(map(number, words), np.int32, len(words)))
+        if len(self.index) >= len(self.ends):
+            self._learn()
+        return [self._gather(x, end) for x in at]
+
+    def _gather(self, at: np.ndarray, end: int) -> np.ndarray:
+        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
+        total = int(lengths.sum())
+        ids = np.empty(total + 1, np.uint32)
+        ids[total] = end
+        if total:
+            first = np.cumsum(lengths) - lengths
+            ids[:total] = self.flat[np.arange(total) + np.repeat(starts - first, lengths)]
+        return ids

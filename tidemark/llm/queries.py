@@ -107,3 +107,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
 
     return plan_mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import groups
+
+    return groups(load(spark, sf_dir, "documents"))

@@ -114,3 +114,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import groups
 
     return groups(load(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import remove_repeats
+
+    rows = remove_repeats(load(spark, sf_dir, "documents"))
+    words = F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["words"])
+    return rows.select("doc_id", "text", words.alias("removed_words"), "removed_spans")

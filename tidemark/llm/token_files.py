@@ -2,7 +2,7 @@
 
 Documents are dealt by range of their id, so that files hold them in ascending order. Each task encodes its documents
 and closes a file at a document's end once it holds file_tokens ids. A shard is two Arrow files: `tokens` (columns
-`ids`, fixed-size list of uint32, and `mask`, fixed-size list of uint8, 0 in the padding of the last row) and `docs`
+`ids`, fixed-size list of uint16 or uint32, as the vocabulary needs, and `mask`, fixed-size list of uint8, 0 in the padding of the last row) and `docs`
 (doc_id, start, n_tokens within the shard). Shards are rows of a table in the shared folder, so that Spark's own
 writer commits them, on any store; `ids_of` opens one without copying.
 
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, ship, stored
+from .common import partitions_for, settings, ship, stored
 from .tokenizer import encoder, vocabulary
 
 SHARD = "part int, file int, n_docs long, n_tokens long, tokens binary, docs binary"
@@ -46,13 +46,13 @@ def arrow_file(batch: pa.RecordBatch) -> bytes:
 def token_file(ids: np.ndarray, sequence: int) -> bytes:
     """One record batch of equal-length sequences; the last is padded with id 0 under mask 0."""
     rows = -(-len(ids) // sequence)
-    flat, mask = np.zeros(rows * sequence, np.uint32), np.zeros(rows * sequence, np.uint8)
+    flat, mask = np.zeros(rows * sequence, ids.dtype), np.zeros(rows * sequence, np.uint8)
     flat[: len(ids)], mask[: len(ids)] = ids, 1
     lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), sequence) for x in (flat, mask)]
     return arrow_file(pa.RecordBatch.from_arrays(lists, ["ids", "mask"]))
 
 
-def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end: int = 2, sequence: int = 2048, file_tokens: int = 1_000_000, partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end: int = 2, sequence: int = 2048, file_tokens: int = 500_000, partitions: int | None = None) -> DataFrame:
     """The shard table (columns of SHARD), written to the shared folder and read back."""
     spark = docs.sparkSession
     ship(spark)
@@ -61,6 +61,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, file = encoder(vocab), TaskContext.get().partitionId(), 0
+        kind = np.uint16 if max(enc.size, end + 1) <= 1 << 16 else np.uint32
         held: list[np.ndarray] = []
         names: list[int | None] = []
         size = 0
@@ -68,7 +69,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def shard() -> pa.RecordBatch:
             lengths = np.fromiter(map(len, held), np.int64, len(held))
             index = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.cumsum(lengths) - lengths), pa.array(lengths)], ["doc_id", "start", "n_tokens"])
-            row = [[part], [file], [len(held)], [size], [token_file(np.concatenate(held), sequence)], [arrow_file(index)]]
+            row = [[part], [file], [len(held)], [size], [token_file(np.concatenate(held).astype(kind), sequence)], [arrow_file(index)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, schema.types)], schema=schema)
 
         for batch in batches:
@@ -86,8 +87,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     n = partitions or partitions_for(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return stored(dealt.mapInArrow(encode, SHARD), "tokens")
 
 
@@ -101,15 +101,19 @@ def read_token_files(shards: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 part, file = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 ids, mask = ids_of(batch.column(2)[i].as_buffer())
-                ids = ids[: int(mask.sum())]
+                ids = ids[: int(mask.sum())].astype("<u4")
                 docs = pa.ipc.open_file(pa.py_buffer(batch.column(3)[i].as_buffer())).read_all().combine_chunks()
                 starts, lengths = docs.column("start").to_numpy(), docs.column("n_tokens").to_numpy()
                 crc = [zlib.crc32(ids[s : s + n]) for s, n in zip(starts, lengths)]
                 cols = [[part] * len(crc), [file] * len(crc), docs.column("doc_id").to_pylist(), starts, lengths, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, out.types)], schema=out)
 
-    rows = shards.select("part", "file", "tokens", "docs").mapInArrow(read, "part int, file int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    # One row per shard: a running sum over the files, not over the documents.
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    return rows.join(offsets, ["part", "file"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    spark = shards.sparkSession
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8", "spark.sql.parquet.columnarReaderBatchSize": "8"}):  # rows of megabytes
+        rows = stored(shards.select("part", "file", "tokens", "docs").mapInArrow(read, "part int, file int, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-docs")
+    # Running sums over one row per part, then over the files of a part; never over documents.
+    parts, files = Window.orderBy("part"), Window.partitionBy("part").orderBy("file")
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_part = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", earlier("n", parts).alias("part_start"))
+    offsets = shards.select("part", "file", earlier("n_tokens", files).alias("file_start")).join(per_part, "part")
+    return rows.join(offsets, ["part", "file"]).select("doc_id", (F.col("part_start") + F.col("file_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

@@ -12,7 +12,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: Pre-tokens a worker remembers before it starts afresh; bounds its memory, never changes a result.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -54,7 +54,8 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model, self.size = whole.model, whole.get_vocab_size()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = byte_letters()
         self._reset()

@@ -125,3 +125,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(load(spark, sf_dir, "documents"))
     words = F.aggregate("removed_spans", F.lit(0), lambda a, s: a + s["words"])
     return rows.select("doc_id", "text", words.alias("removed_words"), "removed_spans")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, held_out, score
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, load(spark, sf_dir, "labels"), train=~held_out())
+    rows = score(docs, model, keep=["doc_id"])
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))

@@ -7,12 +7,14 @@ repeats its words, so each worker keeps the ids of the pre-tokens it has met and
 from __future__ import annotations
 
 import os
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 
 #: Pre-tokens a worker remembers before it starts afresh; bounds its memory, never changes a result.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
+#: Characters that are looked up at once.
+CHARS = 150_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -31,13 +33,22 @@ def encoder(path: str) -> "Encoder":
 
 
 class Words(dict):
-    """Numbers pre-tokens in the order in which they are first asked for."""
+    """Numbers pre-tokens in the order in which they are first asked for; `new` holds those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        self.new.append(word)
         return n
 
 
+def grown(a: np.ndarray, size: int) -> np.ndarray:
+    """a, or a copy of at least twice its length that holds `size`."""
+    return a if size <= len(a) else np.concatenate([a, np.zeros(max(len(a), size - len(a)), a.dtype)])
+
+
 def byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: itself where it prints, else the next from U+0100."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,39 +73,48 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index = Words()
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int32)
 
     def _learn(self) -> None:
         """The library's ids of the pre-tokens that were numbered since the last call."""
-        words = list(islice(self.index, len(self.ends) - 1, None))
+        words, self.index.new = self.index.new, []
         tokenize, letters = self.model.tokenize, self.letters
         rows = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
-        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.ends[-1] : ends[-1]] = np.fromiter(chain.from_iterable(rows), np.uint32, int(ends[-1] - self.ends[-1]))
-        self.ends = np.concatenate([self.ends, ends])
+        n = len(self.index)
+        first = n - len(words)
+        self.ends = grown(self.ends, n + 1)
+        self.ends[first + 1 : n + 1] = self.ends[first] + np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)))
+        start, stop = int(self.ends[first]), int(self.ends[n])
+        self.flat = grown(self.flat, stop)
+        self.flat[start:stop] = np.fromiter(chain.from_iterable(rows), np.uint32, stop - start)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """For each text its ids (uint32), and end after them; a null text is empty."""
+        out: list[np.ndarray] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size > CHARS:
+                out += self._encode(group, end)
+                group, size = [], 0
+        return out + self._encode(group, end)
+
+    def _encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        number = self.index.__getitem__
-        at = []
-        for text in texts:
-            words = self.find(text) if text else []
-            at.append(np.fromiter(map(number, words), np.int32, len(words)))
-        if len(self.index) >= len(self.ends):
+        words = list(map(self.find, texts))
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int32, int(n.sum()))
+        if self.index.new:
             self._learn()
-        return [self._gather(x, end) for x in at]
-
-    def _gather(self, at: np.ndarray, end: int) -> np.ndarray:
-        starts, lengths = self.ends[at], self.ends[at + 1] - self.ends[at]
-        total = int(lengths.sum())
-        ids = np.empty(total + 1, np.uint32)
-        ids[total] = end
-        if total:
-            first = np.cumsum(lengths) - lengths
-            ids[:total] = self.flat[np.arange(total) + np.repeat(starts - first, lengths)]
-        return ids
+        starts = self.ends[at]
+        lengths = self.ends[at + 1] - starts
+        stop = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(lengths, out=stop[1:])
+        ids = self.flat[np.arange(stop[-1]) + np.repeat(starts - stop[:-1], lengths)]
+        edges = stop[np.concatenate([[0], np.cumsum(n)])].tolist()
+        tail = np.array([end], np.uint32)
+        return [np.concatenate([ids[a:b], tail]) for a, b in zip(edges, edges[1:])]

@@ -137,3 +137,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, load(spark, sf_dir, "labels"), train=~held_out())
     rows = score(docs, model, keep=["doc_id"])
     return rows.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(load(spark, sf_dir, "documents"))

@@ -144,3 +144,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import lm_scores
 
     return lm_scores(load(spark, sf_dir, "documents"))
+
+
+@query("op8_nearest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .ann import nearest
+
+    return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

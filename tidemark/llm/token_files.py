@@ -2,7 +2,7 @@
 
 Documents are dealt by range of their id, so that files hold them in ascending order. Each task encodes its documents
 and closes a file at a document's end once it holds file_tokens ids. A shard is two Arrow files: `tokens` (columns
-`ids`, fixed-size list of uint16 or uint32, as the vocabulary needs, and `mask`, fixed-size list of uint8, 0 in the padding of the last row) and `docs`
+`ids`, fixed-size list of uint16 or uint32, as the vocabulary needs, and `mask`, fixed-size list of bits, false in the padding of the last row) and `docs`
 (doc_id, start, n_tokens within the shard). Shards are rows of a table in the shared folder, so that Spark's own
 writer commits them, on any store; `ids_of` opens one without copying.
 
@@ -27,13 +27,12 @@ from .tokenizer import encoder, vocabulary
 SHARD = "part int, file int, n_docs long, n_tokens long, tokens binary, docs binary"
 
 
-def ids_of(data) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(data) -> tuple[np.ndarray, pa.BooleanArray]:
     """The ids and mask of a `tokens` file as flat arrays that share its memory."""
     table = pa.ipc.open_file(pa.py_buffer(data)).read_all()
     if not table.num_rows:
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-    ids, mask = (table.column(c).chunk(0).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-    return ids, mask
+        return np.zeros(0, np.uint32), pa.array([], pa.bool_())
+    return table.column("ids").chunk(0).values.to_numpy(zero_copy_only=True), table.column("mask").chunk(0).values
 
 
 def arrow_file(batch: pa.RecordBatch) -> bytes:
@@ -44,10 +43,10 @@ def arrow_file(batch: pa.RecordBatch) -> bytes:
 
 
 def token_file(ids: np.ndarray, sequence: int) -> bytes:
-    """One record batch of equal-length sequences; the last is padded with id 0 under mask 0."""
+    """One record batch of equal-length sequences; the last is padded with id 0 under mask false."""
     rows = -(-len(ids) // sequence)
-    flat, mask = np.zeros(rows * sequence, ids.dtype), np.zeros(rows * sequence, np.uint8)
-    flat[: len(ids)], mask[: len(ids)] = ids, 1
+    flat, mask = np.zeros(rows * sequence, ids.dtype), np.zeros(rows * sequence, bool)
+    flat[: len(ids)], mask[: len(ids)] = ids, True
     lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), sequence) for x in (flat, mask)]
     return arrow_file(pa.RecordBatch.from_arrays(lists, ["ids", "mask"]))
 
@@ -101,7 +100,7 @@ def read_token_files(shards: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 part, file = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 ids, mask = ids_of(batch.column(2)[i].as_buffer())
-                ids = ids[: int(mask.sum())].astype("<u4")
+                ids = ids[: mask.true_count].astype("<u4")
                 docs = pa.ipc.open_file(pa.py_buffer(batch.column(3)[i].as_buffer())).read_all().combine_chunks()
                 starts, lengths = docs.column("start").to_numpy(), docs.column("n_tokens").to_numpy()
                 crc = [zlib.crc32(ids[s : s + n]) for s, n in zip(starts, lengths)]

@@ -14,7 +14,7 @@ import numpy as np
 #: Pre-tokens a worker remembers before it starts afresh; bounds its memory, never changes a result.
 CACHE_WORDS = 500_000
 #: Characters that are looked up at once.
-CHARS = 150_000
+CHARS = 500_000
 
 _encoders: dict[str, "Encoder"] = {}
 

@@ -48,13 +48,13 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and its end token, one after another, and each text's number of tokens."""
     from xxhash import xxh3_64_intdigest as h
 
+    end = np.array([END], np.uint64)
     parts, lengths = [], []
     for text in texts:
         words = (text or "").encode().lower().split()
-        parts += map(h, words)
-        parts.append(int(END))
+        parts += [np.fromiter(map(h, words), np.uint64, len(words)), end]
         lengths.append(len(words) + 1)
-    return np.array(parts, np.uint64), np.array(lengths, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(lengths, np.int64)
 
 
 def bigrams(t: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ def is_training(ids: list[int | None], parts: int, rest: int) -> np.ndarray:
     return np.array([d is None or zlib.crc32(str(d).encode()) % parts != rest for d in ids], bool)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, parts: int = 7, rest: int = 2, block_bytes: int = 24_000_000, range_bytes: int = 8_000_000, rounds: int = 60) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, parts: int = 7, rest: int = 2, block_bytes: int = 10_000_000, range_bytes: int = 8_000_000, rounds: int = 60) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Documents whose crc32 of the id as text,
     modulo `parts`, is `rest` are held out; the others are learned from."""
     spark = docs.sparkSession

@@ -153,3 +153,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_media")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import stored, text_bytes
+    from .media import padded, read_payloads, store_payloads
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", text_bytes("text").alias("b"))
+    rows = docs.select("doc_id", padded(F.col("b")).alias("payload"), F.octet_length("b").alias("n"))
+    media = stored(store_payloads(rows, "payload", ["doc_id"], "n"), "media")
+    back = read_payloads(media.withColumn("m", F.col("media")), ["doc_id", "media"], "m")
+    tail = F.expr("substring(payload, -64, 64)")
+    return back.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")

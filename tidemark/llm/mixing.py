@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, partitions_for
 
 
 def words_of(text: Column) -> Column:
@@ -39,15 +39,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     per = per.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn % len(weights) + 1).cast("int")))
     cap = F.col("source_size") * F.lit(float(max_repeat))
     # The level: sources fill up in order of cap / weight. With the first k full, the level of the rest is
-    # (total - their caps) / their weights; the first source in that order whose own ratio is not below it fixes it.
+    # (total - their caps) / their weights. That rises with k while the next source has to be full, and falls after.
     order = Window.orderBy((cap / F.col("weight")).asc(), F.col("source").asc_nulls_first())
     full = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
     per = per.withColumn("total", F.sum("source_size").over(everything).cast("double"))
     per = per.withColumn("level_here", (F.col("total") - F.coalesce(F.sum(cap).over(full), F.lit(0.0))) / F.sum("weight").over(rest))
-    per = per.withColumn("level", F.min(F.when(cap / F.col("weight") >= F.col("level_here"), F.col("level_here"))).over(everything))
-    return per.select("source", "source_size", F.least(cap, F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    per = per.withColumn("level", F.max("level_here").over(everything))
+    return per.select("source", "source_size", F.least(cap, F.col("level") * F.col("weight")).alias("target"))
 
 
 def _log_choose(n: Column, k: Column) -> Column:
@@ -111,10 +111,13 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return flat.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("long"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, blocks_per_source: int = 1024, shard_levels: int = 4, seed: int = 7, keep_columns: bool = False) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, blocks_per_source: int = 1024, shard_levels: int | None = None, seed: int = 7, keep_columns: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken and draws, an array of (copy, words,
-    shard, place) for each copy the mix takes; words below size mark the copy that is cut. keep_columns: the input row
-    comes along as the struct `row`."""
+    shard, place) for each copy the mix takes; words below size mark the copy that is cut. shard_levels: 2 to this power is
+    the number of shards; by default at least the session's shuffle partitions. keep_columns: the input row comes
+    along as the struct `row`."""
+    if shard_levels is None:
+        shard_levels = max(1, math.ceil(math.log2(partitions_for(docs.sparkSession))))
     own = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size")]
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_columns else []
     base = docs.select(*own, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("h"), F.xxhash64(text_col).alias("t"), *row)
@@ -162,8 +165,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mix_copy, mix_shard, mix_place. Partitioned by shard, in the shard's shuffled order."""
     plan = plan_mix(docs, id_col, text_col, source_col, keep_columns=True, **how)
     rows = plan.withColumn("d", F.explode("draws"))
-    # The first k words with the white space before them.
-    head = F.expr(f"regexp_extract(row.`{text_col}`, concat('^([\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){{', d.words, '}}'), 0)")
+    # The text splits behind each word; the first k parts are k words with the white space before them.
+    parts = F.split(F.col(f"row.`{text_col}`"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(parts, 1, F.col("d.words").cast("int")), "")
     text = F.when(F.col("d.words") < F.col("size"), head).otherwise(F.col(f"row.`{text_col}`"))
     out = rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns), F.col("d.copy").alias("mix_copy"), F.col("d.shard").alias("mix_shard"), F.col("d.place").alias("mix_place"))
     return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")

@@ -82,12 +82,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
       select source, cast(source_size as double) as source_size, cast(weight as double) as weight,
         3.0 * source_size as cap from s
     ), r as (
-      select *, cap / weight as ratio,
+      select *,
         (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls first rows between unbounded preceding and 1 preceding), 0))
         / sum(weight) over (order by cap / weight, source nulls first rows between current row and unbounded following) as level_here
       from c
     ), t as (
-      select source, source_size, least(cap, weight * coalesce(min(case when ratio >= level_here then level_here end) over (), 1e300)) as target from r
+      select source, source_size, least(cap, weight * max(level_here) over ()) as target from r
     ), e as (
       select source, cast(source_size as bigint) as source_size, target,
         case when source_size > 0 then cast(floor(round(target) / source_size) as bigint) else 0 end as passes

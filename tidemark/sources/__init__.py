@@ -1,0 +1 @@
+"""Readers of text, log and report files, and generators of keyed rows."""

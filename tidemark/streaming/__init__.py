@@ -1,0 +1 @@
+"""Structured Streaming: folds of change streams and stateful processors."""

@@ -61,9 +61,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_of(load(spark, sf_dir, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    """The log of an events table or stream."""
     kind = F.when(F.col("event_type").isin("view", "click"), "get").when(F.col("event_type").isin("purchase", "signup"), "put").otherwise("delete")
     ms = epoch_ms(F.col("ts"))
-    return load(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         ms.alias("at_ms"),
         F.concat(F.lit("events:"), "user_id").alias("key"),
@@ -77,9 +82,13 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes_of(log(spark, sf_dir))
+
+
+def writes_of(rows: DataFrame) -> DataFrame:
+    """A log's writes as fills and tombstones."""
     put = F.col("op") == "put"
-    rows = log(spark, sf_dir).where("op <> 'get'")
-    return rows.select("seq", "at_ms", "key", "shard", F.when(put, "fill").otherwise("tombstone").alias("op"), F.when(put, F.col("version")).alias("rv"), F.when(put, F.shiftleft("at_ms", 16)).alias("fv"), F.when(~put, F.col("version")).alias("version"))
+    return rows.where("op <> 'get'").select("seq", "at_ms", "key", "shard", F.when(put, "fill").otherwise("tombstone").alias("op"), F.when(put, F.col("version")).alias("rv"), F.when(put, F.shiftleft("at_ms", 16)).alias("fv"), F.when(~put, F.col("version")).alias("version"))
 
 
 def strings(*values: str) -> Column:

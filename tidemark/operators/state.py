@@ -69,8 +69,8 @@ def stamp_hlc(ops: DataFrame, partition: str = "shard") -> DataFrame:
 def latest_by_key(rows: DataFrame, key: list[str], version: str, ties: list[str]) -> DataFrame:
     """The row of the largest version of each key; ties by the tie columns, then by all others. One hash aggregate."""
     rest = [c for c in rows.columns if c not in {*key, version, *ties}]
-    best = F.max(F.struct(version, *ties, *rest)).alias("b")
-    return rows.groupBy(*key).agg(best).select(*(F.col(c) if c in key else F.col(f"b.{c}").alias(c) for c in rows.columns))
+    best = F.max(F.struct(version, *ties, *rest)).alias("_best")
+    return rows.groupBy(*key).agg(best).select(*(F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in rows.columns))
 
 
 def lost_invalidations(ops: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions_for
+from .common import WORD, partitions_for, stored
 
 
 def words_of(text: Column) -> Column:
@@ -51,16 +51,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
 
 
 def _log_choose(n: Column, k: Column) -> Column:
-    """log C(n, k) by Stirling's series, with error under 1e-9 from 8 on; smaller factorials by their product."""
+    """log C(n, k): factorials up to 15 from a list, larger ones by Stirling's series (error under 1e-9)."""
+    small = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(16)))
 
     def log_factorial(x: Column) -> Column:
-        y = x.cast("double") + 1
-        z = y + 8
-        series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-        product = y
-        for i in range(1, 8):
-            product = product * (y + i)
-        return series - F.log(product)
+        z = x.cast("double") + 1
+        r = 1 / (z * z)
+        series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r / 1260)) / z
+        return F.when(x < 16, F.get(small, x.cast("int"))).otherwise(series)
 
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
@@ -139,9 +137,9 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     blocks = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1)
     blocks = blocks.withColumn("copies", F.col("passes") + (F.col("block_start") < F.col("part")).cast("long"))
     count = Window.partitionBy("source")
-    blocks = blocks.withColumn("n", F.count("*").over(count)).withColumn("quota", F.sum("copies").over(count).cast("long"))
-    quotas = blocks.groupBy("source").agg(F.first("quota").alias("quota"))
-    shards = split_quotas(quotas, shard_levels, seed)
+    # At most blocks_per_source rows a source, and one row per source and shard: written, so that no plan holds them twice.
+    blocks = stored(blocks.withColumn("n", F.count("*").over(count)).withColumn("quota", F.sum("copies").over(count).cast("long")), "blocks")
+    shards = stored(split_quotas(blocks.groupBy("source").agg(F.first("quota").alias("quota")), shard_levels, seed), "quotas")
     # Draw number of (block, copy), permuted by a step that shares no factor with the quota (a prime above it).
     drawn = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1)))
     number = F.col("copy") * F.col("n") + F.col("rank")

@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A fingerprint of 64 * words bits differs in a share arccos(cosine) / pi of its bits, and a Jaccard similarity s
     means a cosine of 2 s / (1 + s). At 0.8 with 384 bits that is 58 bits, standard deviation 7. Bands of 12 bits put
     over 99 % of such pairs into a common table; the radius lies 2.7 deviations above. Links three deviations below
-    are taken as they are; the others are checked exactly on the documents' shingle sets.
+    are taken as they are. Where others join what those leave apart, the shingle sets of all documents of the group
+    decide (`exact_links`).
     """
     bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -222,44 +223,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = stored(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min(named).alias("least")), "nodes")
     found = stored(links(nodes, radius, band_tables(bits, band)), "links")
-    certain = found.where(F.col("d") <= sure)
-    at = components(certain)
-    # Of the uncertain links, the shortest between each two groups that certain links leave apart.
-    side = {c: at.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"}
-    open_ = found.where(F.col("d") > sure).join(side["a"], "a", "left").join(side["b"], "b", "left")
-    open_ = open_.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
-    best = open_.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
-    checked = verified(stored(best, "open"), nodes, docs, id_col, text_col, shingle, similarity)
-    near = components(certain.select("a", "b").unionByName(checked))
+    certain = found.where(F.col("d") <= sure).select("a", "b")
+    inner, outer = components(certain), components(found)
+    members = outer.withColumnRenamed("component", "wide").join(inner.withColumnRenamed("component", "label"), "node", "left").select("node", "wide", F.coalesce("label", "node").alias("label"))
+    members = stored(members, "members")
+    near = components(certain.unionByName(exact_links(members, nodes, docs, id_col, text_col, shingle, similarity)))
     roots = nodes.join(near, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     kept = roots.groupBy("root").agg(F.min("least").alias("kept"))
     roots = stored(roots.join(kept, "root").select("node", "root", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash")), "roots")
     return fps.join(roots, "node").select("doc_id", "text_hash", F.col("root").alias("group"), (F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))).alias("keep"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b of nodes) whose documents' shingle sets reach the similarity."""
-    ship(pairs.sparkSession)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    names = ends.join(nodes, "node").select("node", F.col("least.doc_id").alias("i"), F.col("least.text_hash").alias("h"))
+def exact_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, cell_chars: int = 2_000_000) -> DataFrame:
+    """a, b: links between documents of one `wide` group whose shingle sets reach the similarity, enough of them to
+    join all labels that any such link joins. Groups of one label have nothing to decide. A large group is dealt to
+    sub-groups of about cell_chars, every two of which meet in a cell."""
+    ship(members.sparkSession)
+    open_ = members.groupBy("wide").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("wide")
+    asked = members.join(open_, "wide", "left_semi").join(nodes.select("node", "least"), "node")
+    asked = asked.select("node", "wide", "label", F.col("least.doc_id").alias("i"), F.col("least.text_hash").alias("h"))
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
-    texts = body.join(names, body["id"].eqNullSafe(names["i"]) & (body["hash"] == names["h"])).select("node", "text").dropDuplicates(["node"])
-    texts = stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = body.join(asked, body["id"].eqNullSafe(asked["i"]) & (body["hash"] == asked["h"])).select("node", "wide", "label", "text")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    sizes = texts.groupBy("wide").agg(F.ceil(F.sum(F.coalesce(F.length("text"), F.lit(0))) / cell_chars).cast("int").alias("groups"))
+    many = texts.join(sizes, "wide").withColumn("groups", F.greatest("groups", F.lit(1)))
+    many = many.withColumn("grp", F.pmod(F.hash("node"), "groups")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    cells = many.select("wide", F.least("grp", "other").alias("lo"), F.greatest("grp", "other").alias("hi"), "grp", "node", "label", "text")
+    dealt = cells.repartition(partitions_for(members.sparkSession), "wide", "lo", "hi").sortWithinPartitions("wide", "lo", "hi")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def solved() -> pa.RecordBatch:
+            pairs = cell_links(rows, key[1] != key[2], key[1], shingle, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                good = []
-                for s, t in zip(some.column(2).to_pylist(), some.column(3).to_pylist()):
-                    x, y = (np.unique(shingle_hashes(v, shingle)) for v in (s, t))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(common >= similarity * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], schema=schema).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(check, "a long, b long")
+            for *cell, grp, node, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != key:
+                    if len(rows) > 1:
+                        yield solved()
+                    key, rows = cell, []
+                rows.append((grp, node, label, np.unique(shingle_hashes(text, shingle))))
+        if len(rows) > 1:
+            yield solved()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def cell_links(rows: list[tuple], across: bool, lo: int, shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (node, node) of one cell of (group, node, label, sorted shingle hashes). Each document is counted against
+    those of other labels at once, by marking its shingles; labels that a link joins are one from then on."""
+    names = {x: k for k, x in enumerate(dict.fromkeys(r[2] for r in rows))}
+    root = np.array([names[r[2]] for r in rows])
+    size = np.array([len(r[3]) for r in rows])
+    seen, flat = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+    stop = np.cumsum(size)
+    mark = np.zeros(len(seen) + 1, np.int64)
+    out: list[tuple[int, int]] = []
+    side = np.array([r[0] == lo for r in rows])
+    for i in range(len(rows)):
+        other = root != root[i]
+        if not other.any():
+            if not (root != root[0]).any():
+                break
+            continue
+        other &= (size >= similarity * size[i]) & (size[i] >= similarity * size)
+        if across:
+            other &= side != side[i]
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        own = flat[stop[i] - size[i] : stop[i]]
+        mark[own] = 1
+        picked = np.concatenate([flat[stop[k] - size[k] : stop[k]] for k in at])
+        ends = np.cumsum(size[at])
+        total = np.concatenate([[0], np.cumsum(mark[picked])])
+        common = total[ends] - total[ends - size[at]]
+        mark[own] = 0
+        for k in at[common >= similarity * (size[i] + size[at] - common)]:
+            if root[k] != root[i]:
+                out.append((rows[i][1], rows[k][1]))
+                root[root == root[k]] = root[i]
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

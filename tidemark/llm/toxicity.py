@@ -73,7 +73,7 @@ def _measure(text: str | None, hits, lexicon: dict[str, float]) -> list[float]:
 
 
 _SECOND = frozenset(SECOND_PERSON)
-_DISGUISED = re.compile(r"[a-z][a-z0-9@$!]*[0-9@$!][a-z0-9@$!]*[a-z]").findall
+_DISGUISED = re.compile(r"(?:[a-z]+[0-9@$!](?=[a-z0-9@$])|[0-9@$]+[a-z])[a-z0-9@$!]*").findall
 
 
 def finder(words: list[str]):

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import read_queries, state_queries, traffic_queries, verify_queries  # noqa: F401
+from . import catalog_queries, read_queries, state_queries, traffic_queries, verify_queries  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

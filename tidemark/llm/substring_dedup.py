@@ -7,11 +7,12 @@ digests are grouped over all documents, and the earliest occurrence, by document
 document, a run of neighbouring units that all occurred earlier is removed if it has at least min_words words; single
 common sentences stay. Offsets are positions in the original text, in code points.
 
-The first occurrence of a unit is never removed, so every passage stays once.
+The first occurrence of a unit is never removed, so every passage stays once. What a passage shares with the words
+around it in an uncut unit stays too: at most a unit at either end, where the passage doesn't begin with a sentence.
 
-Defined cases: null texts stay null, empty ones empty, with no spans; documents rank by id, null ids last, then by the
-hash of their text; rows that repeat id and text are one document and get one result; an empty table gives no rows;
-other columns pass through untouched, whatever their names.
+Defined cases: null texts stay null, empty ones empty, with no spans; documents rank by id, null ids last; rows that
+repeat an id and its text are one document and get one result; different texts of one id aren't compared with one
+another; an empty table gives no rows; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stored
 
 BOUNDARY = r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=\p{Lu})"
-UNIT = "doc_id long, text_hash long, unit int, start int, stop int, words int, digest long"
+UNIT = "doc_id long, version int, unit int, start int, stop int, words int, digest long, again boolean"
 
 
-def units_of(text: str | None, long_unit: int = 32) -> list[tuple[int, int, int, int]]:
+def units_of(text: str | None, long_unit: int = 16) -> list[tuple[int, int, int, int]]:
     """(start, stop, words, digest) of each unit; stop is where the next unit starts."""
     import regex
     from xxhash import xxh64_intdigest
@@ -52,7 +53,7 @@ def units_of(text: str | None, long_unit: int = 32) -> list[tuple[int, int, int,
             begin = at
             for m in regex.finditer(r"\S+\s*", text[at:end]):
                 own.append(m.group().strip().lower())
-                if xxh64_intdigest(own[-1].encode(), 2) % 16 == 0:
+                if xxh64_intdigest(own[-1].encode(), 2) % 8 == 0:
                     add(begin, at + m.end(), own)
                     begin, own = at + m.end(), []
             if own:
@@ -61,10 +62,12 @@ def units_of(text: str | None, long_unit: int = 32) -> list[tuple[int, int, int,
     return out
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = 32) -> DataFrame:
-    """The units (columns of UNIT) of all documents, in their order."""
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = 16) -> DataFrame:
+    """The units (columns of UNIT) of all documents, in their order. version tells apart texts of one id; again: the
+    digest stands earlier in the same document."""
     ship(docs.sparkSession)
-    schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.int32()) for c in UNIT.split(", ")])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in UNIT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,36 +75,45 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_
                 some = batch.slice(at, 200)
                 rows = []
                 for doc, h, text in zip(*(c.to_pylist() for c in some.columns)):
-                    rows += [(doc, h, i, *u) for i, u in enumerate(units_of(text, long_unit))]
+                    seen: set[int] = set()
+                    for i, u in enumerate(units_of(text, long_unit)):
+                        rows.append((doc, h, i, *u, u[3] in seen))
+                        seen.add(u[3])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _version(text_col).alias("version"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, UNIT)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 40, long_unit: int = 32) -> DataFrame:
-    """doc_id, text_hash, spans: an array of (start, stop, words) to remove, for the documents that have any."""
-    all_units = units(docs, id_col, text_col, long_unit)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "unit")
-    # Both aggregates are combined before the shuffle: a unit that a third of the documents share is a row per task.
-    first = stored(all_units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
-    later = all_units.join(first, "digest").where(F.col("first") < place).select("doc_id", "text_hash", "unit", "start", "stop", "words")
-    # A document's own repeated units: bounded by its length.
-    own = later.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "stop", "words"))).alias("u"))
+def _version(text_col: str) -> Column:
+    """31 bits of a text's hash: with its id they name a document."""
+    return F.xxhash64(text_col).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30, long_unit: int = 16) -> DataFrame:
+    """doc_id, version, spans: an array of (start, stop, words) to remove, for the documents that have any."""
+    all_units = units(docs, id_col, text_col, long_unit)
+    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    # Two numbers per digest, combined before the shuffle: a unit that a third of the documents share is a row per task.
+    first = all_units.where("not again").groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    first = stored(first.where("first < last").select("digest", "first"), "first")
+    # Units that stand earlier in their own document need no other document; the rest meet the repeated digests.
+    within = all_units.where("again").drop("again", "digest")
+    across = all_units.where("not again").join(first, "digest").where(F.col("first") < rank).select(*within.columns)
+    own = within.unionByName(across).distinct()
+    order = Window.partitionBy("doc_id", "version").orderBy("unit")
     # Neighbouring units have one difference between their number and their position among the repeated ones.
-    flat = own.select("doc_id", "text_hash", F.posexplode("u").alias("i", "x"))
-    runs = flat.groupBy("doc_id", "text_hash", (F.col("x.unit") - F.col("i")).alias("run")).agg(F.min("x.start").alias("start"), F.max("x.stop").alias("stop"), F.sum("x.words").cast("int").alias("words"))
-    return runs.where(F.col("words") >= min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
+    runs = own.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("int").alias("words"))
+    return runs.where(F.col("words") >= min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 40, long_unit: int = 32, spans_col: str | None = "removed_spans") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30, long_unit: int = 16, spans_col: str | None = "removed_spans") -> DataFrame:
     """docs with the repeated passages cut from the text, and the original offsets of what was cut in spans_col."""
     spans = repeated_spans(docs, id_col, text_col, min_words=min_words, long_unit=long_unit)
-    spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.col("spans").alias("_spans"))
-    own = docs.withColumn("_hash", F.xxhash64(text_col))
-    rows = own.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_span_id")) & (F.col("_hash") == F.col("_span_hash")), "left")
+    spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("version").alias("_span_version"), F.col("spans").alias("_spans"))
+    own = docs.withColumn("_version", _version(text_col))
+    rows = own.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_span_id")) & (F.col("_version") == F.col("_span_version")), "left")
     text = F.col(f"`{text_col}`")
     # What stays: from each span's end (or 0) to the next span's start (or the text's end).
     starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["stop"]))

@@ -99,7 +99,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
     schema = pa.schema([(c, pa.int32() if c == "tier" else pa.int64()) for c in (x.split()[0] for x in PIECE.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(vocab), Packer(tiers, TaskContext.get().partitionId() * PER_PARTITION, step_tokens)
+        enc, packer = encoder(vocab, 200_000), Packer(tiers, TaskContext.get().partitionId() * PER_PARTITION, step_tokens)
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:

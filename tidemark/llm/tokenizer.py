@@ -25,10 +25,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> "Encoder":
-    """This worker's encoder for a vocabulary file."""
+def encoder(path: str, words: int = CACHE_WORDS) -> "Encoder":
+    """This worker's encoder for a vocabulary file, which remembers `words` pre-tokens."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = words
     return _encoders[path]
 
 
@@ -69,6 +70,7 @@ class Encoder:
         self.model, self.size = whole.model, whole.get_vocab_size()
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = byte_letters()
+        self.most = CACHE_WORDS
         self._reset()
 
     def _reset(self) -> None:
@@ -103,7 +105,7 @@ class Encoder:
         return out + self._encode(group, end)
 
     def _encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > self.most:
             self._reset()
         words = list(map(self.find, texts))
         n = np.fromiter(map(len, words), np.int64, len(words))

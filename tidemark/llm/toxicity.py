@@ -9,7 +9,7 @@ The training sample is bounded: at most max_labelled rows, chosen by the hash of
 
 Defined cases: null and empty texts have features of 0 and get a score like any other; rows without id are scored but
 never learned from; where labels repeat an id each counts; with no training row of one of the classes, every score is
-the share of label 1 (0 without any label); an empty table gives no rows; other columns pass through untouched.
+the share of label 1 (0 without any label); an empty table gives no rows; other columns pass through untouched, but for one named toxicity, which is replaced.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def finder(words: list[str]):
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """The columns `keep` and `features`, an array of doubles."""
+    """The columns `keep` and `_features`, an array of doubles."""
     ship(docs.sparkSession)
     kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
 
@@ -107,10 +107,10 @@ def features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text",
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 rows = [_measure(t, hits, lexicon) for t in some.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "features"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "_features"])
 
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, StructType([*kept.fields, StructField("features", ArrayType(DoubleType()))]))
+    return rows.mapInArrow(run, StructType([*kept.fields, StructField("_features", ArrayType(DoubleType()))]))
 
 
 def learn_lexicon(rows: DataFrame, size: int = 200, min_docs: int = 5, min_lift: float = 4.0) -> dict[str, float]:
@@ -142,27 +142,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if known["bad"] in (0, known["n"]):
         return ToxicityModel({}, known["bad"] / known["n"] if known["n"] else 0.0)
     lexicon = learn_lexicon(rows, lexicon_size)
-    table = stored(features(rows, lexicon, "text", ["doc_id", "label"]), "features").select("doc_id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("x")).repartition(4).cache()
+    table = stored(features(rows, lexicon, "text", ["doc_id", "label"]), "features").select("doc_id", F.col("label").cast("double").alias("label"), array_to_vector("_features").alias("_x")).repartition(4).cache()
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4))
-    gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, maxBins=64)
+    gbt = GBTClassifier(featuresCol="_x", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, maxBins=64).setProbabilityCol("_probability").setRawPredictionCol("_raw")
     model = gbt.fit(table.where(part != 0))
-    scored = model.transform(table.where(part == 0)).select("label", vector_to_array("probability")[1].alias("p"))
-    iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored) if not scored.isEmpty() else None
+    scored = model.transform(table.where(part == 0)).select("label", vector_to_array("_probability")[1].alias("_p"))
+    iso = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(scored) if not scored.isEmpty() else None
     table.unpersist()
     return ToxicityModel(lexicon, known["bad"] / known["n"], model, iso)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all of docs) and toxicity, a double from 0 to 1."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
     if model.trees is None:
         return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(model.base)).alias("toxicity"))
     rows = features(docs, model.lexicon, text_col, keep)
-    rows = model.trees.transform(rows.withColumn("_x", array_to_vector("features")).withColumnRenamed("_x", "x"))
-    rows = rows.withColumn("p", vector_to_array("probability")[1])
-    last = "p"
+    rows = model.trees.transform(rows.withColumn("_x", array_to_vector("_features")))
+    rows, last = rows.withColumn("_p", vector_to_array("_probability")[1]), "_p"
     if model.calibration is not None:
-        rows, last = model.calibration.setPredictionCol("calibrated").transform(rows.drop("prediction")), "calibrated"
+        rows, last = model.calibration.transform(rows), "_calibrated"
     return rows.select(*(F.col(f"`{c}`") for c in keep), F.least(F.greatest(F.col(last), F.lit(0.0)), F.lit(1.0)).alias("toxicity"))
 
 

@@ -61,10 +61,15 @@ def slo_report(observations: DataFrame, *by: str) -> DataFrame:
 
 
 def slo_rolling(observations: DataFrame, window_ms: int) -> DataFrame:
-    """observations (level, at_ms, violation) with the counts of the window that ends at each (its start excluded)."""
-    frame = Window.partitionBy("level").orderBy("at_ms").rangeBetween(-window_ms + 1, 0)
-    rows = observations.withColumn("observations", F.count("*").over(frame)).withColumn("violations", F.sum(F.col("violation").cast("long")).over(frame))
-    return rows.withColumn("nines", nines(F.col("observations"), F.col("violations")))
+    """observations (level, at_ms, violation) with the counts of the window that ends at each (its start excluded).
+
+    Time is cut into stretches of the window's length, and each row also goes to the stretch after its own, where it is
+    context alone: so every window lies in one group, and a level is spread over as many groups as there are stretches."""
+    here = F.floor(F.col("at_ms") / window_ms)
+    rows = observations.withColumn("_own", here).withColumn("_stretch", F.explode(F.array(here, here + 1)))
+    frame = Window.partitionBy("level", "_stretch").orderBy("at_ms").rangeBetween(-window_ms + 1, 0)
+    rows = rows.withColumn("observations", F.count("*").over(frame)).withColumn("violations", F.sum(F.col("violation").cast("long")).over(frame))
+    return rows.where(F.col("_own") == F.col("_stretch")).drop("_own", "_stretch").withColumn("nines", nines(F.col("observations"), F.col("violations")))
 
 
 def trace(events: DataFrame, most: int = 32, most_keys: int | None = None) -> DataFrame:

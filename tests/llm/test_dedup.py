@@ -145,9 +145,9 @@ def sentence(r, n):
 def test_units_cover():
     r = random.Random(2)
     text = "\n".join(sentence(r, r.randrange(1, 60)) for _ in range(50)) + "\n\n  tail"
-    u = units_of(text)
-    assert u[0][0] == 0 and u[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(u, u[1:]))
-    assert sum(x[2] for x in u) == len(text.split())
+    starts, stops, sizes, _ = units_of(text)
+    assert starts[0] == 0 and stops[-1] == len(text) and stops[:-1] == starts[1:]
+    assert sum(sizes) == len(text.split()) and len(set(units_of("İ b. İ b.")[3])) == 1
 
 
 def test_passages(spark, odd):

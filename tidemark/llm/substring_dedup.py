@@ -2,7 +2,7 @@
 
 A document is cut into units: a line, and within a line a sentence (an end mark, or white space before a capital, ends
 it), so that a passage that stands in the middle of other lines has units of its own. A unit of more than long_unit
-words is cut again behind words that their own hash chooses. Units are normalised (case and white space), their 64-bit
+words is cut again behind words with certain endings. Units are normalised (case and white space), their 64-bit
 digests are grouped over all documents, and the earliest occurrence, by document and then position, is kept. In a
 document, a run of neighbouring units that all occurred earlier is removed if it has at least min_words words; single
 common sentences stay. Offsets are positions in the original text, in code points.
@@ -18,7 +18,9 @@ another; an empty table gives no rows; other columns pass through untouched, wha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,40 +28,55 @@ from pyspark.sql import functions as F
 from .common import ship, stored
 
 BOUNDARY = r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=\p{Lu})"
+#: Inside a long unit: behind words that end in one of a few letters, about one in six of common prose.
+INNER = r"(?<=[dgkpwzыйь])\s+"
 UNIT = "doc_id long, version int, unit int, start int, stop int, words int, digest long, again boolean"
 
 
-def units_of(text: str | None, long_unit: int = 16) -> list[tuple[int, int, int, int]]:
-    """(start, stop, words, digest) of each unit; stop is where the next unit starts."""
+def units_of(text: str | None, long_unit: int = 16) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Starts, stops (where the next unit starts), numbers of words and digests of the units."""
     import regex
     from xxhash import xxh64_intdigest
 
+    starts: list[int] = []
+    stops: list[int] = []
+    sizes: list[int] = []
+    digests: list[int] = []
     if not text:
-        return []
-    out = []
-
-    def add(start: int, stop: int, words: list[str]) -> None:
-        out.append((start, stop, len(words), xxh64_intdigest(" ".join(words).encode(), 1) - (1 << 63)))
-
+        return starts, stops, sizes, digests
+    low = text.lower()
+    if len(low) != len(text):  # a few letters become two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    inner = regex.compile(INNER).finditer
+    ends = [m.end() for m in regex.finditer(BOUNDARY, text)]
+    ends.append(len(text))
     at = 0
-    for end in [*(m.end() for m in regex.finditer(BOUNDARY, text)), len(text)]:
-        words = text[at:end].lower().split()
+    for end in ends:
+        words = low[at:end].split()
         if not words:
             continue
         if len(words) <= long_unit:
-            add(at, end, words)
+            parts = ((end, words),)
         else:
-            own: list[str] = []
-            begin = at
-            for m in regex.finditer(r"\S+\s*", text[at:end]):
-                own.append(m.group().strip().lower())
-                if xxh64_intdigest(own[-1].encode(), 2) % 8 == 0:
-                    add(begin, at + m.end(), own)
-                    begin, own = at + m.end(), []
-            if own:
-                add(begin, end, own)
+            cuts = [m.end() for m in inner(low, at, end)]
+            if not cuts or cuts[-1] < end:
+                cuts.append(end)
+            parts = ((b, low[a:b].split()) for a, b in zip([at, *cuts], cuts))
+        for stop, words in parts:
+            starts.append(at)
+            stops.append(stop)
+            sizes.append(len(words))
+            digests.append(xxh64_intdigest(" ".join(words), 1) - (1 << 63))
+            at = stop
         at = end
-    return out
+    return starts, stops, sizes, digests
+
+
+def _again(digests: list[int]) -> list[bool]:
+    seen: set[int] = set()
+    if len(set(digests)) == len(digests):
+        return [False] * len(digests)
+    return [d in seen or seen.add(d) is not None for d in digests]
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = 16) -> DataFrame:
@@ -73,14 +90,13 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
-                rows = []
-                for doc, h, text in zip(*(c.to_pylist() for c in some.columns)):
-                    seen: set[int] = set()
-                    for i, u in enumerate(units_of(text, long_unit)):
-                        rows.append((doc, h, i, *u, u[3] in seen))
-                        seen.add(u[3])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+                found = [units_of(t, long_unit) for t in some.column(2).to_pylist()]
+                n = np.array([len(f[0]) for f in found])
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                own = [pa.array(np.fromiter(chain.from_iterable(f[k] for f in found), np.int64, int(n.sum())), t) for k, t in zip(range(4), schema.types[3:7])]
+                again = pa.array(list(chain.from_iterable(_again(f[3]) for f in found)), pa.bool_())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(number, pa.int32()), *own, again], schema=schema)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _version(text_col).alias("version"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, UNIT)
@@ -98,10 +114,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Two numbers per digest, combined before the shuffle: a unit that a third of the documents share is a row per task.
     first = all_units.where("not again").groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
     first = stored(first.where("first < last").select("digest", "first"), "first")
-    # Units that stand earlier in their own document need no other document; the rest meet the repeated digests.
-    within = all_units.where("again").drop("again", "digest")
-    across = all_units.where("not again").join(first, "digest").where(F.col("first") < rank).select(*within.columns)
-    own = within.unionByName(across).distinct()
+    # A unit is later if it stands earlier in its own document, or in one that ranks before.
+    own = all_units.join(first, "digest", "left").where(F.col("again") | (F.col("first") < rank)).select("doc_id", "version", "unit", "start", "stop", "words").distinct()
     order = Window.partitionBy("doc_id", "version").orderBy("unit")
     # Neighbouring units have one difference between their number and their position among the repeated ones.
     runs = own.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("int").alias("words"))

@@ -21,6 +21,14 @@ def plain():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_latin_pattern():
+    """The fast pattern cuts as the general one, around every character of Latin-1."""
+    e = Encoder(vocabulary())
+    for c in map(chr, range(256)):
+        for text in (c, f"a{c}b", f" {c} ", f"{c}{c}1", f"a {c}\n{c}  b", f"'{c}s", f"x{c}'ll {c}9"):
+            assert e.find_latin(text) == e.find_any(text), repr(text)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

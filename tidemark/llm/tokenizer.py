@@ -7,7 +7,9 @@ repeats its words, so each worker keeps the ids of the pre-tokens it has met and
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
+from unicodedata import category
 
 import numpy as np
 
@@ -16,6 +18,11 @@ CACHE_WORDS = 500_000
 #: Characters that are looked up at once.
 CHARS = 500_000
 
+#: Latin-1's white space, and its letters and numbers by their Unicode category.
+SPACES = r" \t\n\r\x0b\x0c\x85\xa0"
+LETTERS = "".join(chr(c) for c in range(256) if category(chr(c))[0] == "L")
+NUMBERS = "".join(chr(c) for c in range(256) if category(chr(c))[0] == "N")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -68,7 +75,9 @@ class Encoder:
 
         whole = Tokenizer.from_file(path)
         self.model, self.size = whole.model, whole.get_vocab_size()
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.find_any = regex.compile(public_tokenizers.PATTERN).findall
+        # The same pattern for texts of Latin-1 alone, whose classes are bitmaps: twice as fast.
+        self.find_latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
         self.letters = byte_letters()
         self.most = CACHE_WORDS
         self._reset()
@@ -91,6 +100,14 @@ class Encoder:
         self.flat = grown(self.flat, stop)
         self.flat[start:stop] = np.fromiter(chain.from_iterable(rows), np.uint32, stop - start)
 
+    def find(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find_any(text)
+        return self.find_latin(text)
+
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """For each text its ids (uint32), and end after them; a null text is empty."""
         out: list[np.ndarray] = []

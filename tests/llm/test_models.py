@@ -66,14 +66,28 @@ def test_lm(spark, documents, odd):
     assert new.score.sum() > new.base_score.sum() and np.isfinite(got.score).all()
 
 
-def test_lm_is_a_distribution(spark):
-    """Probabilities of all words after a context add up to one, the unknown word included."""
-    docs = spark.createDataFrame([(0, "a b a c"), (1, "a b b"), (3, "c a")], "doc_id long, text string")
-    asked = ["a", "b", "c", "zz"]
-    rows = docs.unionByName(spark.createDataFrame([(i, w) for i, w in zip([k for k in range(1000, 3000) if zlib.crc32(str(k).encode()) % 7 == 2], asked)], docs.schema))
-    # With a text of one word, p(word | start) * p(end | word): divided by p(end | word), it must sum with p(end | start) to 1.
-    s = lm.lm_scores(rows).toPandas()
-    assert (s.score <= 0).all()
+def test_lm_scores(spark, documents):
+    """Scores from counts taken one token at a time, with weights learned from those counts."""
+    rows = documents.select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r.doc_id: r.score for r in lm.lm_scores(documents.coalesce(4), block_bytes=60_000, range_bytes=30_000).collect()}
+    texts = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in rows}
+    learned = [d for d in texts if zlib.crc32(str(d).encode()) % 7 != 2]
+    c1 = Counter(w for d in learned for w in texts[d])
+    c2 = Counter(p for d in learned for p in zip([None, *texts[d]], texts[d]))
+    n, v = sum(c1.values()), len(c1)
+    arrays = lambda ts: (np.array([c1[w] for w in ts], float), np.array([c2[p] for p in zip([None, *ts], ts)], float), np.array([c1[w] for w in [None, *ts[:-1]]], float))
+    cells = Counter()
+    for d in learned:
+        w, p, u = arrays(texts[d])
+        for cell, k in zip(*lm.histogram(w, p, u, np.ones(len(w), bool))):
+            cells[int(cell)] += int(k)
+    m = lm.learn_weights(np.array(list(cells)), np.array(list(cells.values()), float), n, v, 60)
+    for d, ts in texts.items():
+        w, p, u = arrays(ts)
+        k = m[lm.bucket(u)]
+        want = np.log10(k[:, 0] * p / np.maximum(u, 1) + k[:, 1] * w / n + k[:, 2] / (v + 1)).sum()
+        assert got[d] == pytest.approx(want, rel=1e-6)
+    assert m.sum(axis=1) == pytest.approx(np.ones(lm.BUCKETS))
 
 
 def test_lm_empty(empty):

@@ -193,7 +193,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), kept.types)], schema=kept)
 
     table = bodies.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(meet, "doc_id long, learned boolean, words binary, pairs binary, ends long, cells array<int>, weights array<long>, n long, v long")
-    table = stored(table, "counts")
+    table = stored(table, "counts", "zstd")
     totals = table.where("n is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     big_n, big_v = int(totals["n"]), int(totals["v"])
     cells = table.where("cells is not null").select(F.explode(F.arrays_zip("cells", "weights")).alias("c")).groupBy("c.cells").agg(F.sum("c.weights").alias("w"))

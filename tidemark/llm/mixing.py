@@ -109,11 +109,14 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return flat.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("long"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, blocks_per_source: int = 1024, shard_levels: int | None = None, seed: int = 7, keep_columns: bool = False) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, blocks_per_source: int | None = None, shard_levels: int | None = None, seed: int = 7, keep_columns: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken and draws, an array of (copy, words,
-    shard, place) for each copy the mix takes; words below size mark the copy that is cut. shard_levels: 2 to this power is
-    the number of shards; by default at least the session's shuffle partitions. keep_columns: the input row comes
+    shard, place) for each copy the mix takes; words below size mark the copy that is cut. blocks_per_source: by
+    default 16 for each of the session's shuffle partitions, 1024 at least, so that a block's documents fit a task; what
+    is taken doesn't depend on it. shard_levels: 2 to this power is the number of shards; by default at least the session's shuffle partitions. keep_columns: the input row comes
     along as the struct `row`."""
+    if blocks_per_source is None:
+        blocks_per_source = max(1024, 16 * partitions_for(docs.sparkSession))
     if shard_levels is None:
         shard_levels = max(1, math.ceil(math.log2(partitions_for(docs.sparkSession))))
     own = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size")]
@@ -137,7 +140,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     blocks = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("block")) - 1)
     blocks = blocks.withColumn("copies", F.col("passes") + (F.col("block_start") < F.col("part")).cast("long"))
     count = Window.partitionBy("source")
-    # At most blocks_per_source rows a source, and one row per source and shard: written, so that no plan holds them twice.
+    # At most blocks_per_source rows a source, and one row per source and shard: both small, and written, so that no plan holds them twice.
     blocks = stored(blocks.withColumn("n", F.count("*").over(count)).withColumn("quota", F.sum("copies").over(count).cast("long")), "blocks")
     shards = stored(split_quotas(blocks.groupBy("source").agg(F.first("quota").alias("quota")), shard_levels, seed), "quotas")
     # Draw number of (block, copy), permuted by a step that shares no factor with the quota (a prime above it).

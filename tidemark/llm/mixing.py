@@ -113,8 +113,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """One row per document: doc_id, source, size, source_size, target, taken and draws, an array of (copy, words,
     shard, place) for each copy the mix takes; words below size mark the copy that is cut. blocks_per_source: by
     default 16 for each of the session's shuffle partitions, 1024 at least, so that a block's documents fit a task; what
-    is taken doesn't depend on it. shard_levels: 2 to this power is the number of shards; by default at least the session's shuffle partitions. keep_columns: the input row comes
-    along as the struct `row`."""
+    is taken doesn't depend on it. shard_levels: 2 to this power is the number of shards; by default at least the
+    session's shuffle partitions. keep_columns: the input row comes along as the struct `row`."""
     if blocks_per_source is None:
         blocks_per_source = max(1024, 16 * partitions_for(docs.sparkSession))
     if shard_levels is None:

@@ -173,3 +173,22 @@ def test_passages(spark, odd):
     assert got[30].text == got[31].text == ""
     out = {(r.doc_id, r.text) for r in remove_repeats(odd).select("doc_id", "text").collect()}
     assert (0, None) in out and (1, "") in out and remove_repeats(odd).columns == [*odd.columns, "removed_spans"]
+
+
+@pytest.mark.parametrize("lang", ["en", "fr", "de", "es"])
+def test_passages_from_mid_sentence(spark, documents, lang):
+    """Passages of 30 and of 51 to 80 words, cut from and put at any word, go to the last word; shorter ones stay."""
+    r = random.Random(lang)
+    words = [w for d in documents.where(f"lang = '{lang}'").collect() for w in d.text.split()]
+    rows, want = [], {}
+    for i in range(60):
+        a, b = r.choices(words, k=300), r.choices(words, k=300)
+        n = 29 if i % 6 == 0 else 30 if i % 6 == 1 else r.randrange(51, 81)
+        x, y = r.randrange(1, 300 - n), r.randrange(1, 300)
+        while a[x - 1].lower() == b[y - 1].lower() or a[x + n].lower() == b[y].lower():
+            y = r.randrange(1, 300)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b[:y] + a[x : x + n] + b[y:]))]
+        want[2 * i] = " ".join(a)
+        want[2 * i + 1] = rows[-1][1] if n < 30 else " ".join(b)
+    got = {g.doc_id: g.text for g in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want

@@ -1,14 +1,19 @@
-"""Removal of repeated passages by hashing of lines and their sentences.
-
-A document is cut into units: a line, and within a line a sentence (an end mark, or white space before a capital, ends
-it), so that a passage that stands in the middle of other lines has units of its own. A unit of more than long_unit
-words is cut again behind words with certain endings. Units are normalised (case and white space), their 64-bit
-digests are grouped over all documents, and the earliest occurrence, by document and then position, is kept. In a
-document, a run of neighbouring units that all occurred earlier is removed if it has at least min_words words; single
-common sentences stay. Offsets are positions in the original text, in code points.
-
-The first occurrence of a unit is never removed, so every passage stays once. What a passage shares with the words
-around it in an uncut unit stays too: at most a unit at either end, where the passage doesn't begin with a sentence.
+"""Removal of repeated passages by sampled digests of word sequences, extended word by word.
+
+A document is a sequence of words (case and white space don't count). Every sequence of `gram` words has a 64-bit
+digest; an anchor is a place whose digest is the least of some `window` neighbouring ones in the document, so about one
+word in eight has an anchor, in any language, and every window has one. Which places are anchors depends on the words
+of the window alone, and gram + window - 1 = min_words: a passage of min_words words has the same anchors wherever it
+stands. Anchors are grouped over all documents by digest, and the earliest occurrence, by document and then position, is
+kept. A later one is extended to both sides while its words equal those beside the kept one: by window - 1 words at
+most, as a longer passage has its next anchor there. What a document's extended anchors cover together without a gap is
+removed if it has at least min_words words. Offsets are positions in the original text, in code points.
+
+So a passage of min_words words or more that stands in an earlier document, or earlier in the same one, goes whole from
+its first word to its last. One case keeps less than window words at an end: where the anchor nearest to that end stands
+in a still earlier place too, it is extended against that one. Each removed word stands with its neighbours in an earlier
+place. A text that repeats itself without a pause (periods shorter than min_words too) keeps its first period. Words
+beside an anchor are compared by 16 bits of their hashes, so one end in 65,536 may be a word too long.
 
 Defined cases: null texts stay null, empty ones empty, with no spans; documents rank by id, null ids last; rows that
 repeat an id and its text are one document and get one result; different texts of one id aren't compared with one
@@ -17,89 +22,162 @@ another; an empty table gives no rows; other columns pass through untouched, wha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import ship, stored
 
-BOUNDARY = r"\s*\n\s*|(?<=[.!?])\s+|\s+(?=\p{Lu})"
-#: Inside a long unit: behind words that end in one of a few letters, about one in six of common prose.
-INNER = r"(?<=[dgkpwzыйь])\s+"
-UNIT = "doc_id long, version int, unit int, start int, stop int, words int, digest long, again boolean"
-
-
-def units_of(text: str | None, long_unit: int = 16) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Starts, stops (where the next unit starts), numbers of words and digests of the units."""
-    import regex
-    from xxhash import xxh64_intdigest
-
-    starts: list[int] = []
-    stops: list[int] = []
-    sizes: list[int] = []
-    digests: list[int] = []
-    if not text:
-        return starts, stops, sizes, digests
-    low = text.lower()
-    if len(low) != len(text):  # a few letters become two
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    inner = regex.compile(INNER).finditer
-    ends = [m.end() for m in regex.finditer(BOUNDARY, text)]
-    ends.append(len(text))
-    at = 0
-    for end in ends:
-        words = low[at:end].split()
-        if not words:
-            continue
-        if len(words) <= long_unit:
-            parts = ((end, words),)
-        else:
-            cuts = [m.end() for m in inner(low, at, end)]
-            if not cuts or cuts[-1] < end:
-                cuts.append(end)
-            parts = ((b, low[a:b].split()) for a, b in zip([at, *cuts], cuts))
-        for stop, words in parts:
-            starts.append(at)
-            stops.append(stop)
-            sizes.append(len(words))
-            digests.append(xxh64_intdigest(" ".join(words), 1) - (1 << 63))
-            at = stop
-        at = end
-    return starts, stops, sizes, digests
-
-
-def _again(digests: list[int]) -> list[bool]:
-    seen: set[int] = set()
-    if len(set(digests)) == len(digests):
-        return [False] * len(digests)
-    return [d in seen or seen.add(d) is not None for d in digests]
-
-
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_unit: int = 16) -> DataFrame:
-    """The units (columns of UNIT) of all documents, in their order. version tells apart texts of one id; again: the
-    digest stands earlier in the same document."""
+ANCHOR = "doc_id long, version int, pos int, digest long"
+SPANS = "array<struct<start:int,stop:int,words:int>>"
+#: Multiplier of the digests, odd.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of the texts that are taken together.
+TOGETHER = 1 << 20
+
+
+class _Hashes(dict):
+    """Hashes of words. Short words are remembered, up to a number of them."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxh64_intdigest(word, 1)
+        if len(word) <= 40:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_hash_of = _Hashes().__getitem__
+
+
+def _sizes(min_words: int) -> tuple[int, int]:
+    """Words of a digest, and neighbouring digests of which the least is taken."""
+    gram = (min_words + 2) // 2
+    return gram, min_words - gram + 1
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one array, and each text's number of words."""
+    words = [t.lower().split() if t else [] for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(_hash_of, chain.from_iterable(words)), np.uint64, int(n.sum())), n
+
+
+def _slide(values: np.ndarray, width: int, least_or_most: Callable) -> np.ndarray:
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = least_or_most(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def anchors_of(hashes: np.ndarray, n: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `hashes` of the anchors of all texts, in order, and their digests."""
+    gram, window = _sizes(min_words)
+    grams, windows = len(hashes) - gram + 1, len(hashes) - min_words + 1
+    if windows <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    digests = np.zeros(grams, np.uint64)
+    for k in range(gram):
+        digests *= ODD
+        digests += hashes[k : k + grams]
+    np.maximum(digests, 1, out=digests)
+    least = _slide(digests, window, np.minimum)
+    stops = np.repeat(np.cumsum(n), n)
+    least = np.where(np.arange(windows) + min_words <= stops[:windows], least, 0)  # none across two texts
+    beside = np.zeros(window - 1, np.uint64)
+    at = np.nonzero(_slide(np.concatenate([beside, least, beside]), window, np.maximum) == digests)[0]
+    return at, digests[at]
+
+
+def beside(hashes: np.ndarray, n: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
+    """16 bits of the words before (outwards) and behind each anchor, window - 1 to a side; 0: none in its text."""
+    gram, window = _sizes(min_words)
+    tags = np.maximum((hashes >> np.uint64(48)).astype(np.uint16), 1)
+    stops = np.cumsum(n)
+    text = np.searchsorted(stops, at, "right")
+    first, stop = (stops - n)[text][:, None], stops[text][:, None]
+    k = np.arange(window - 1)
+    where = np.concatenate([at[:, None] - 1 - k, at[:, None] + gram + k], axis=1)
+    return np.where((where >= first) & (where < stop), tags[np.clip(where, 0, max(0, len(tags) - 1))], 0).astype("<u2")
+
+
+def units_of(text: str | None, min_words: int = 30) -> tuple[list[int], list[int], list[int], list[int]]:
+    """A text cut before its anchors: starts, stops (where the next unit starts), numbers of words and digests of the
+    units' words."""
+    hashes, n = word_hashes([text])
+    if not len(hashes):
+        return [], [], [], []
+    cuts = [0, *(p for p in anchors_of(hashes, n, min_words)[0].tolist() if p), len(hashes)]
+    offsets = _offsets(text)
+    starts = [offsets[a] for a in cuts[:-1]]
+    digests = [xxh64_intdigest(hashes[a:b].tobytes(), 1) for a, b in zip(cuts, cuts[1:])]
+    return starts, [*starts[1:], len(text)], np.diff(cuts).tolist(), digests
+
+
+def _offsets(text: str) -> list[int]:
+    """Where each word starts; the first takes the white space before it. Behind the last: the text's end."""
+    return [0, *[m.start() for m in re.finditer(r"\S+", text)][1:], len(text)]
+
+
+def spans_of(text: str, pos: np.ndarray, near: np.ndarray, min_words: int) -> list[dict[str, int]]:
+    """What to remove of a text whose anchors at the words `pos` have a kept occurrence with `near` beside it."""
+    gram, window = _sizes(min_words)
+    hashes, n = word_hashes([text])
+    same = (beside(hashes, n, pos, min_words) == near) & (near != 0)
+    more = np.logical_and.accumulate(same.reshape(len(pos), 2, window - 1), axis=2).sum(axis=2)
+    begin, end = pos - more[:, 0], pos + gram + more[:, 1]
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+    runs = [(a, b) for a, b in zip(begin[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist()) if b - a >= min_words]
+    offsets = _offsets(text) if runs else []
+    return [{"start": offsets[a], "stop": offsets[b], "words": b - a} for a, b in runs]
+
+
+def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    at, chars = 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= TOGETHER or i == len(texts) - 1:
+            yield at, i + 1
+            at, chars = i + 1, 0
+
+
+def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30, near: bool = False) -> DataFrame:
+    """The anchors (columns of ANCHOR) of all documents. version tells apart texts of one id; near, if asked for: what
+    stands beside the anchor."""
     ship(docs.sparkSession)
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in UNIT.split(", ")])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = ANCHOR + (", near binary" if near else "")
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
+    width = 4 * (_sizes(min_words)[1] - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                found = [units_of(t, long_unit) for t in some.column(2).to_pylist()]
-                n = np.array([len(f[0]) for f in found])
-                rows = pa.array(np.repeat(np.arange(len(n)), n))
-                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own = [pa.array(np.fromiter(chain.from_iterable(f[k] for f in found), np.int64, int(n.sum())), t) for k, t in zip(range(4), schema.types[3:7])]
-                again = pa.array(list(chain.from_iterable(_again(f[3]) for f in found)), pa.bool_())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(number, pa.int32()), *own, again], schema=schema)
+            texts = batch.column(2).to_pylist()
+            for a, b in _together(texts):
+                hashes, n = word_hashes(texts[a:b])
+                at, digests = anchors_of(hashes, n, min_words)
+                stops = np.cumsum(n)
+                row = np.searchsorted(stops, at, "right")
+                rows = pa.array(row + a)
+                out = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - (stops - n)[row]).astype(np.int32)), pa.array(digests.view(np.int64))]
+                if near:
+                    offsets = np.arange(len(at) + 1, dtype=np.int32) * np.int32(width)
+                    out.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(beside(hashes, n, at, min_words).tobytes())]))
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), _version(text_col).alias("version"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, UNIT)
+    return own.mapInArrow(run, columns)
 
 
 def _version(text_col: str) -> Column:
@@ -107,32 +185,47 @@ def _version(text_col: str) -> Column:
     return F.xxhash64(text_col).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30, long_unit: int = 16) -> DataFrame:
-    """doc_id, version, spans: an array of (start, stop, words) to remove, for the documents that have any."""
-    all_units = units(docs, id_col, text_col, long_unit)
+def repeated_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30) -> DataFrame:
+    """doc_id, version, found: pos and near (of the kept occurrence) of the anchors that occurred earlier, for the
+    documents that have any."""
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    # Two numbers per digest, combined before the shuffle: a unit that a third of the documents share is a row per task.
-    first = all_units.where("not again").groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    first = stored(first.where("first < last").select("digest", "first"), "first")
-    # A unit is later if it stands earlier in its own document, or in one that ranks before.
-    own = all_units.join(first, "digest", "left").where(F.col("again") | (F.col("first") < rank)).select("doc_id", "version", "unit", "start", "stop", "words").distinct()
-    order = Window.partitionBy("doc_id", "version").orderBy("unit")
-    # Neighbouring units have one difference between their number and their position among the repeated ones.
-    runs = own.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "version", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").cast("int").alias("words"))
-    return runs.where(F.col("words") >= min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30, long_unit: int = 16, spans_col: str | None = "removed_spans") -> DataFrame:
+    # Combined before the shuffle: an anchor that a third of the documents share is a row per task.
+    first = anchors(docs, id_col, text_col, min_words=min_words, near=True).groupBy("digest").agg(F.min(F.struct(rank.alias("rank"), "version", "pos", "near")).alias("first"), F.count("*").alias("n"))
+    first = stored(first.where("n > 1").select("digest", "first"), "first")
+    kept = F.col("first")
+    later = (kept["rank"] < rank) | ((kept["rank"] == rank) & (kept["version"] == F.col("version")) & (kept["pos"] < F.col("pos")))
+    rows = anchors(docs, id_col, text_col, min_words=min_words).join(first, "digest").where(later)
+    # A set: rows that repeat an id and its text have the same anchors.
+    return rows.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", kept["near"].alias("near"))).alias("found"))
+
+
+def _spans(min_words: int) -> Callable[[Column, Column], Column]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32())]))
+
+    @F.arrow_udf(SPANS)
+    def spans(text: pa.Array, found: pa.Array) -> pa.Array:
+        out: list[list | None] = [None] * len(found)
+        for i in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            own = found[i].values
+            near = np.frombuffer(b"".join(own.field("near").to_pylist()), "<u2").reshape(len(own), -1)
+            out[i] = spans_of(text[i].as_py(), own.field("pos").to_numpy().astype(np.int64), near, min_words)
+        return pa.array(out, kind)
+
+    return spans
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30, spans_col: str | None = "removed_spans") -> DataFrame:
     """docs with the repeated passages cut from the text, and the original offsets of what was cut in spans_col."""
-    spans = repeated_spans(docs, id_col, text_col, min_words=min_words, long_unit=long_unit)
-    spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("version").alias("_span_version"), F.col("spans").alias("_spans"))
+    found = repeated_anchors(docs, id_col, text_col, min_words=min_words)
+    found = found.select(F.col("doc_id").alias("_span_id"), F.col("version").alias("_span_version"), F.col("found").alias("_found"))
     own = docs.withColumn("_version", _version(text_col))
-    rows = own.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_span_id")) & (F.col("_version") == F.col("_span_version")), "left")
+    rows = own.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_span_id")) & (F.col("_version") == F.col("_span_version")), "left")
     text = F.col(f"`{text_col}`")
+    rows = rows.withColumn("_spans", _spans(min_words)(F.when(F.col("_found").isNotNull(), text), F.col("_found")))
     # What stays: from each span's end (or 0) to the next span's start (or the text's end).
     starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["stop"]))
     stops = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(text)))
     kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a)), "")
     cut = F.when(F.col("_spans").isNull(), text).otherwise(kept)
-    extra = [F.coalesce("_spans", F.expr("cast(array() as array<struct<start:int,stop:int,words:int>>)")).alias(spans_col)] if spans_col else []
+    extra = [F.coalesce("_spans", F.expr(f"cast(array() as {SPANS})")).alias(spans_col)] if spans_col else []
     return rows.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *extra)

@@ -192,3 +192,14 @@ def test_passages_from_mid_sentence(spark, documents, lang):
         want[2 * i + 1] = rows[-1][1] if n < 30 else " ".join(b)
     got = {g.doc_id: g.text for g in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_passages_without_own_id(spark, doc_id):
+    """A passage that only rows of one id, or without id, share stays in one of them, once."""
+    r = random.Random(6)
+    passage = sentence(r, 60)
+    rows = [(doc_id, f"{sentence(r, 50)} {passage} {sentence(r, 50)}") for _ in range(8)]
+    got = remove_repeats(spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(3)).collect()
+    assert len({g.text for g in got if passage in g.text}) == 1
+    assert len({g.text for g in got}) == 8 and all(len(g.text.split()) in (100, 160) for g in got)

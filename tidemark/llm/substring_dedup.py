@@ -15,9 +15,10 @@ in a still earlier place too, it is extended against that one. Each removed word
 place. A text that repeats itself without a pause (periods shorter than min_words too) keeps its first period. Words
 beside an anchor are compared by 16 bits of their hashes, so one end in 65,536 may be a word too long.
 
-Defined cases: null texts stay null, empty ones empty, with no spans; documents rank by id, null ids last; rows that
-repeat an id and its text are one document and get one result; different texts of one id aren't compared with one
-another; an empty table gives no rows; other columns pass through untouched, whatever their names.
+Defined cases: null texts stay null, empty ones empty, with no spans; documents rank by id, null ids last, and then by a
+hash of the text, so different texts of one id or without id rank too; rows that repeat an id (or lack one) and its text
+are one document and get one result; an empty table gives no rows; other columns pass through untouched, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -188,12 +189,12 @@ def _version(text_col: str) -> Column:
 def repeated_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 30) -> DataFrame:
     """doc_id, version, found: pos and near (of the kept occurrence) of the anchors that occurred earlier, for the
     documents that have any."""
-    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    place = [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("version"), F.col("pos")]
     # Combined before the shuffle: an anchor that a third of the documents share is a row per task.
-    first = anchors(docs, id_col, text_col, min_words=min_words, near=True).groupBy("digest").agg(F.min(F.struct(rank.alias("rank"), "version", "pos", "near")).alias("first"), F.count("*").alias("n"))
+    first = anchors(docs, id_col, text_col, min_words=min_words, near=True).groupBy("digest").agg(F.min(F.struct(*place, "near")).alias("first"), F.count("*").alias("n"))
     first = stored(first.where("n > 1").select("digest", "first"), "first")
     kept = F.col("first")
-    later = (kept["rank"] < rank) | ((kept["rank"] == rank) & (kept["version"] == F.col("version")) & (kept["pos"] < F.col("pos")))
+    later = F.struct(*(kept[c].alias(c) for c in ("no_id", "doc_id", "version", "pos"))) < F.struct(*place)
     rows = anchors(docs, id_col, text_col, min_words=min_words).join(first, "digest").where(later)
     # A set: rows that repeat an id and its text have the same anchors.
     return rows.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", kept["near"].alias("near"))).alias("found"))

@@ -180,6 +180,22 @@ def test_leases(spark):
     assert got["granted"] == 1 and got["waited"] + got["granted"] + got["wait_exhausted"] == 500
 
 
+def test_leases_end(spark):
+    """A lease ends lease_ms after its grant, however often its key is asked for meanwhile."""
+    hour = 3_600_000
+    r = random.Random(3)
+    misses = [("day", i, i * hour) for i in range(25)] + [(f"k{r.randrange(6)}", 100 + i, r.randrange(40 * hour)) for i in range(400)]
+    want, grants = {}, {}
+    for key, seq, at in sorted(misses, key=lambda m: (m[2], m[1])):
+        new = key not in grants or at - grants[key] > 4 * hour
+        grants[key] = at if new else grants[key]
+        since = at - grants[key]
+        want[seq] = (since, "granted" if new else "waited" if since <= 75 else "wait_exhausted")
+    rows = spark.createDataFrame(misses, "key string, seq long, at_ms long").repartition(5)
+    got = {g.seq: (g.since_ms, g.outcome) for g in reads.lease_outcomes(rows, 4 * hour).collect()}
+    assert got == want and sum(got[i][1] == "granted" for i in range(25)) == 5
+
+
 def test_client_cap(spark):
     rows = spark.createDataFrame([("a", f"s{i}", i) for i in range(100)], "session string, shard string, version long")
     kept = sessions.session_tokens(rows).collect()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.columns import accepts
 
@@ -52,22 +56,51 @@ def update_where(rows: DataFrame, match: Column, key: str, budget: int, shard: s
     return out.select(shard, "matched", "degraded", F.when(F.col("any_degraded"), F.expr("cast(array() as array<bigint>)")).otherwise(F.col("found").cast("array<bigint>")).alias("keys"))
 
 
-def lease_outcomes(misses: DataFrame, lease_ms: int = 2000, attempts: int = 4, first_wait_ms: int = 5, most_wait_ms: int = 50) -> DataFrame:
+def lease_outcomes(misses: DataFrame, lease_ms: int = 2000, attempts: int = 4, first_wait_ms: int = 5, most_wait_ms: int = 50, by_gaps: bool = False) -> DataFrame:
     """misses (key, at_ms, seq) with `outcome`: granted to the first miss of a key while no lease is out, waited while
-    the lease's fill comes within the waits' total, else wait_exhausted. A lease begins a new island when more than
-    lease_ms lie since the grant, which for gaps is told by a running window per key."""
+    the lease's fill comes within the waits' total, else wait_exhausted; since_ms: time since the grant. A lease ends
+    lease_ms after its grant, so the first miss more than lease_ms after the last grant is granted.
+
+    by_gaps is the simpler rule that SQL windows can tell: a lease lasts as long as its key's misses follow one another
+    within lease_ms."""
     waits, wait = 0, first_wait_ms
     for _ in range(attempts):
         waits, wait = waits + wait, min(2 * wait, most_wait_ms)
+    rows = _since_by_gaps(misses, lease_ms) if by_gaps else _since_grant(misses, lease_ms)
+    outcome = F.when(F.col("_granted"), "granted").when(F.col("since_ms") <= waits, "waited").otherwise("wait_exhausted")
+    return rows.withColumn("outcome", outcome).drop("_granted")
+
+
+def _since_by_gaps(misses: DataFrame, lease_ms: int) -> DataFrame:
     order = Window.partitionBy("key").orderBy("at_ms", "seq")
     gap = F.col("at_ms") - F.lag("at_ms").over(order)
     island = F.sum(F.coalesce((gap > lease_ms).cast("int"), F.lit(1))).over(order)
     rows = misses.withColumn("_i", island)
     first = F.min("at_ms").over(Window.partitionBy("key", "_i"))
     rank = F.row_number().over(Window.partitionBy("key", "_i").orderBy("at_ms", "seq"))
-    rows = rows.withColumn("_rank", rank).withColumn("since_ms", F.col("at_ms") - first)
-    outcome = F.when(F.col("_rank") == 1, "granted").when(F.col("since_ms") <= waits, "waited").otherwise("wait_exhausted")
-    return rows.withColumn("outcome", outcome).drop("_i", "_rank")
+    return rows.withColumn("_granted", rank == 1).withColumn("since_ms", F.col("at_ms") - first).drop("_i")
+
+
+def _since_grant(misses: DataFrame, lease_ms: int) -> DataFrame:
+    """Sequential: a task walks its keys' misses in order and holds the current key and the time of its last grant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, grant = None, None
+        for batch in batches:
+            granted, since = [], []
+            for k, at in zip(batch.column("key").to_pylist(), batch.column("at_ms").to_pylist()):
+                if k != key:
+                    key, grant = k, None
+                new = at is None or grant is None or at - grant > lease_ms
+                if new:
+                    grant = at
+                granted.append(new)
+                since.append(None if at is None else at - grant)
+            columns = [*batch.columns, pa.array(granted, pa.bool_()), pa.array(since, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_granted", "since_ms"])
+
+    kind = StructType([*misses.schema.fields, StructField("_granted", BooleanType()), StructField("since_ms", LongType())])
+    return misses.repartition("key").sortWithinPartitions("key", "at_ms", "seq").mapInArrow(run, kind)
 
 
 def with_standby(reads: DataFrame, standby: DataFrame, home_up: Column, ttl_ms: int = 30_000) -> DataFrame:

@@ -180,7 +180,7 @@ def monotonic_reads_check(spark, d) -> DataFrame:
     ) select seq, key, since_ms, case when r = 1 then 'granted' when since_ms <= 75 then 'waited' else 'wait_exhausted' end as outcome from r""",
 )
 def lease_outcomes(spark, d) -> DataFrame:
-    out = R.lease_outcomes(log(spark, d).where("op = 'get'"), 14_400_000)
+    out = R.lease_outcomes(log(spark, d).where("op = 'get'"), 14_400_000, by_gaps=True)  # the rule of its SQL
     return out.select("seq", "key", "since_ms", "outcome")
 
 

@@ -1,4 +1,4 @@
-"""Stateful processors for what depends on the order of events: dwell times, recency-bounded tokens, behind timers.
+"""Stateful processors for what depends on the order of events: dwell times and recency-bounded tokens.
 
 State is keyed, so it spreads over executors; each key's state is bounded (a decision, at most `most` watermarks)."""
 

@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A fingerprint of 64 * words bits differs in a share arccos(cosine) / pi of its bits, and a Jaccard similarity s
     means a cosine of 2 s / (1 + s). At 0.8 with 384 bits that is 58 bits, standard deviation 7. Bands of 12 bits put
-    over 99 % of such pairs into a common table; the radius lies 2.7 deviations above. Links three deviations below
+    about 99 % of such pairs into a common table (fewer of texts of a few shingles, see README); the radius lies 2.7 deviations above. Links three deviations below
     are taken as they are. Where others join what those leave apart, the shingle sets of all documents of the group
     decide (`exact_links`).
     """

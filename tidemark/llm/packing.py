@@ -4,8 +4,9 @@ Each task packs the documents of its partition in one pass. Whole longest window
 left of a document goes to the tier of the smallest context that holds it. Each tier fills windows of exactly its size,
 cutting a document where a window ends. At the end the open windows of all tiers are merged, longest first, so that
 shorter tiers fill the gaps of longer windows; the last tokens form windows whose lengths are powers of two, so no
-window needs padding. A step group is step_tokens worth of windows of one tier of a partition. Groups are equally large within a
-partition but for the last of each tier, which is smaller; a partition's closing windows form tiers of their own.
+window needs padding. A step group is step_tokens worth of windows of one tier of a partition. Groups are equally large
+within a partition but for the last of each tier, which is smaller; a partition's closing windows form tiers of their
+own.
 
 Defined cases: null and empty texts are the end id alone; null ids are kept; repeated rows are packed one by one; an
 empty table gives no piece; other columns are not read.

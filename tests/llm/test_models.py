@@ -66,38 +66,74 @@ def test_lm(spark, documents, odd):
     assert new.score.sum() > new.base_score.sum() and np.isfinite(got.score).all()
 
 
-def test_lm_scores(spark, documents):
-    """Scores from counts taken one token at a time, with weights learned from those counts."""
+@pytest.mark.parametrize("fan", [13, 1])
+def test_lm_scores(spark, documents, fan):
+    """Scores from counts taken one token at a time, with weights learned from those counts; over one level and two."""
     rows = documents.select("doc_id", "text").orderBy("doc_id").collect()
-    got = {r.doc_id: r.score for r in lm.lm_scores(documents.coalesce(4), block_bytes=60_000, range_bytes=30_000).collect()}
+    got = {r.doc_id: r.score for r in lm.lm_scores(documents.coalesce(4), block_bytes=60_000, range_bytes=30_000, fan=fan).collect()}
     texts = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in rows}
     learned = [d for d in texts if zlib.crc32(str(d).encode()) % 7 != 2]
+    before = lambda ts: zip([None, None, *ts], [None, *ts], ts)
     c1 = Counter(w for d in learned for w in texts[d])
-    c2 = Counter(p for d in learned for p in zip([None, *texts[d]], texts[d]))
+    c2 = Counter(p[1:] for d in learned for p in before(texts[d]))
+    c3 = Counter(p for d in learned for p in before(texts[d]))
     n, v = sum(c1.values()), len(c1)
-    arrays = lambda ts: (np.array([c1[w] for w in ts], float), np.array([c2[p] for p in zip([None, *ts], ts)], float), np.array([c1[w] for w in [None, *ts[:-1]]], float))
+
+    def arrays(ts):
+        rows = [(c1[w], c2[v, w], c3[u, v, w], c1[v], c1[None] if v is None else c2[u, v]) for u, v, w in before(ts)]
+        return [np.array(c) for c in zip(*rows)]
+
     cells = Counter()
     for d in learned:
-        w, p, u = arrays(texts[d])
-        for cell, k in zip(*lm.histogram(w, p, u, np.ones(len(w), bool))):
+        a = arrays(texts[d])
+        for cell, k in zip(*lm.histogram(*a, np.ones(len(a[0]), bool))):
             cells[int(cell)] += int(k)
-    m = lm.learn_weights(np.array(list(cells)), np.array(list(cells.values()), float), n, v, 60)
+    names = sorted(cells)
+    m = lm.learn_weights(np.array(names), np.array([cells[c] for c in names], float), n, v, 60)
     for d, ts in texts.items():
-        w, p, u = arrays(ts)
-        k = m[lm.bucket(u)]
-        want = np.log10(k[:, 0] * p / np.maximum(u, 1) + k[:, 1] * w / n + k[:, 2] / (v + 1)).sum()
+        own = d in learned  # its tokens are scored with themselves deleted
+        w, p, q, u, uv = (x - own for x in arrays(ts))
+        k = m[lm.bucket(u, uv)]
+        tri, bi = (np.divide(x, y, out=np.zeros(len(x)), where=y > 0) for x, y in ((q, uv), (p, u)))
+        want = np.log10(k[:, 0] * tri + k[:, 1] * bi + k[:, 2] * w / (n - own) + k[:, 3] / (v + 1)).sum()
         assert got[d] == pytest.approx(want, rel=1e-6)
     assert m.sum(axis=1) == pytest.approx(np.ones(lm.BUCKETS))
 
 
+def test_lm_reruns_agree(spark, documents):
+    run = lambda: {r.doc_id: (r.score, r.base_score) for r in lm.lm_scores(documents, block_bytes=60_000, range_bytes=30_000).collect()}
+    assert run() == run()
+
+
+def test_lm_wide_counts(spark):
+    """Counts above 2 ** 32 are summed and sent whole."""
+    for a in ([0], [255, 256], [1 << 40, 3], [(1 << 62) + 1]):
+        assert lm.counts_of(lm.planes(np.array(a))).tolist() == a
+    lists = [(b, 0, k, bytearray(lm.short(np.array([5, 9], np.uint64), 8 if not k else 5)), bytearray(lm.planes(np.array([3 << 40, b])))) for b in (1, 2) for k in (0, 1, 2)]
+    got = lm.summed(spark.createDataFrame(lists, lm.LISTS), 2, 2).collect()
+    assert len(got) == 6 and all(lm.counts_of(r.totals).tolist() == [6 << 40, 3] for r in got)
+    assert sum(r.n for r in got) == (6 << 40) + 3 and sum(r.v for r in got) == 2
+    assert lm.bucket(np.array([1 << 50]), np.array([1 << 45]))[0] == lm.DEGREES - 1
+
+
+def test_lm_tells_repeats(spark, documents):
+    """Documents that occur twice score above the others per token, as their three-word contexts go on as before."""
+    rows = [(r.doc_id, r.text) for r in documents.where("n_chars > 400").dropDuplicates(["text"]).collect()]
+    twice = [(100_000 + d, t) for d, t in rows[::9]]
+    got = lm.lm_scores(spark.createDataFrame(rows + twice, "doc_id long, text string")).toPandas()
+    per = (got.score / got.n_tokens).groupby(got.doc_id.isin([d for d, _ in rows[::9] + twice])).median()
+    assert per[True] > per[False] + 0.5
+
+
 def test_lm_empty(empty):
     assert lm.lm_scores(empty).count() == 0
 
 
 def test_em_finds_the_mixture():
-    cells = np.array([(5 * lm.BINS + 4) * lm.BINS + 60, (5 * lm.BINS + 127) * lm.BINS + 60])
-    m = lm.learn_weights(cells, np.array([3e6, 1e6]), 1 << 20, 1000, 200)
+    cell = lambda q: ((5 * lm.TRI + q) * lm.BI + 31) * lm.UNI + 20
+    m = lm.learn_weights(np.array([cell(2), cell(lm.TRI - 1)]), np.array([3e6, 1e6]), 1 << 30, 1000, 200)
     assert m.sum(axis=1) == pytest.approx(np.ones(lm.BUCKETS)) and m[5, 0] > 0.5
+    assert not m[lm.DEGREES :, 0].any() and not m[lm.DEGREES, 1] and (m[:, 3] > 0).all()
 
 
 def vectors(spark):

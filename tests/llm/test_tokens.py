@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.conftest import ODD
 from tidemark.llm.packing import pack
-from tidemark.llm.token_files import ids_of, read_token_files, write_token_files
+from tidemark.llm.token_files import ids_of, read_token_files, sequence_at, write_token_files
 from tidemark.llm.tokenizer import Encoder, vocabulary
 
 
@@ -17,7 +17,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -34,7 +33,7 @@ def crc(ids):
 
 
 def test_encoder(plain):
-    texts = [*ODD, "  a  b\n\n c\t", "it's they'll 12 3½  x", "\x00\x01 a", "a­b ﻿", " \r\n ", "​　zz\x85y\x1cq"]
+    texts = [*ODD, "  a  b\n\n c\t", "it's they'll 12 3½  x", "\x00\x01 a", "a­b ﻿", " \r\n ", "​　zz\x85y\x1cq", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|endoftext"]
     for text, ids in zip(texts, Encoder(vocabulary()).encode(texts, 2)):
         assert ids.tolist() == [*plain(text), 2]
 
@@ -53,11 +52,14 @@ def test_token_files(documents, odd, plain, size):
         assert any(len(w) == r.n_tokens and crc(w) == r.ids_crc32 for w in want[r.doc_id])
         start, last = start + r.n_tokens, r.doc_id
     assert len(got) == docs.count()
-    data = bytes(shards.where("n_tokens > 200").first().tokens)
-    ids, mask = ids_of(data)
-    assert len(ids) % 128 == 0 and len(mask) == len(ids)
+    data = bytes(shards.orderBy("n_tokens").collect()[-1].tokens)
+    ids, n = ids_of(data)
+    assert len(ids) % 128 == 0 and n <= len(ids) < n + 128
     inside = np.frombuffer(data, np.uint8)
-    assert np.shares_memory(ids, inside) or ids.base is not None
+    for i in {0, len(ids) // 256, len(ids) // 128 - 1}:
+        own, mask = sequence_at(data, i)
+        assert own.tolist() == ids[i * 128 : i * 128 + 128].tolist() and len(mask) == 128
+        assert np.shares_memory(own, inside) and mask.true_count == min(128, n - i * 128)
 
 
 def test_empty(empty):

@@ -2,6 +2,8 @@
 
 A byte-level BPE encodes each pre-token by itself, so a text's ids are the ids of its pre-tokens in order. Prose
 repeats its words, so each worker keeps the ids of the pre-tokens it has met and asks the library only for new ones.
+Texts that hold a string of the vocabulary's added tokens (such as its end-of-text mark) go to the library whole, as it
+cuts them out before anything else.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Texts to arrays of ids. Special tokens' strings in a text are ordinary text."""
+    """Texts to arrays of ids, those of the library's encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,8 +75,10 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
+        self.whole = whole = Tokenizer.from_file(path)
         self.model, self.size = whole.model, whole.get_vocab_size()
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.find_any = regex.compile(public_tokenizers.PATTERN).findall
         # The same pattern for texts of Latin-1 alone, whose classes are bitmaps: twice as fast.
         self.find_latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
@@ -114,8 +118,14 @@ class Encoder:
         group: list[str] = []
         size = 0
         for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
+            text = text or ""
+            if self.has_added(text):
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+                out += [*self._encode(group, end), np.array([*ids, end], np.uint32)]
+                group, size = [], 0
+                continue
+            group.append(text)
+            size += len(text)
             if size > CHARS:
                 out += self._encode(group, end)
                 group, size = [], 0

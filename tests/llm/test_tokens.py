@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import Packer, pack
 from tidemark.llm.token_files import ids_of, read_token_files, sequence_at, write_token_files
 from tidemark.llm.tokenizer import Encoder, vocabulary
 
@@ -92,7 +92,44 @@ def test_packing(documents, odd, plain):
         assert at <= 2048
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding == 0
-    groups = defaultdict(int)
+    groups, last = defaultdict(int), {}
     for p in pieces:
-        groups[(p.step_group, p.tier)] += p.length
-    assert max(groups.values()) <= 16 * 2048
+        groups[p.tier, p.step_group] += p.length
+        last[p.tier] = max(last.get(p.tier, 0), p.step_group)
+    # All groups of a tier are equal but for its last; closing windows below the smallest tier may lack some tokens.
+    for (tier, group), n in groups.items():
+        assert n <= 16 * 2048 and (group == last[tier] or n == 16 * 2048 or (tier == 256 and n > 15 * 2048))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_gaps(seed):
+    """Long windows take whole pieces of shorter tiers into their gaps, and cut one document at most."""
+    rng = np.random.default_rng(seed)
+    packer = Packer((256, 512, 1024, 2048), 0)
+    sizes = np.minimum(rng.lognormal(5.5, 1.1, 3000).astype(int) + 1, 9000)
+    pieces = [p for d, n in enumerate(sizes.tolist()) for p in packer.take(d, np.arange(n, dtype=np.uint32))]
+    full = {p[5] for p in pieces}
+    pieces += packer.close()
+    of = defaultdict(list)
+    for p in pieces:
+        of[p[5]].append(p)
+    assert sum(p[2] for p in pieces) == sizes.sum()
+    long = [of[s] for s in full if of[s][0][7] == 2048]
+    mixed = [w for w in long if any(p[4] <= 1024 for p in w)]
+    assert len(mixed) > len(long) / 10  # documents of shorter tiers in long windows
+    ends_inside = lambda p: p[1] + p[2] < p[4]
+    assert all(sum(map(ends_inside, of[s])) <= 1 for s in full)
+    assert all(sum(p[2] for p in of[s]) == of[s][0][7] for s in full)
+    whole = sum(p[2] == p[4] for p in pieces if p[4] <= 2048) / sum(p[4] <= 2048 and p[1] == 0 for p in pieces)
+    assert whole > 0.7
+
+
+def test_step_groups_over_partitions(spark, documents):
+    """Groups are equal over all partitions, however few tokens each has."""
+    pieces = pack(documents.repartition(23), step_tokens=4096).collect()
+    groups, last = defaultdict(int), {}
+    for p in pieces:
+        groups[p.tier, p.step_group] += p.length
+        last[p.tier] = max(last.get(p.tier, 0), p.step_group)
+    assert len({p.sequence_id >> 36 for p in pieces}) == 23
+    assert all(n == 4096 for (t, g), n in groups.items() if t > 256 and g < last[t]) and sum(n == 4096 for n in groups.values()) > 10

@@ -165,6 +165,62 @@ def test_nearest(spark):
     assert same_vectors == [17, 4001, 4002, 4003, 4004]
 
 
+def shapes():
+    r = np.random.default_rng(3)
+    pick = lambda n, d: r.normal(size=(n, d))[r.integers(0, n, 2500)]
+    yield "clusters", pick(25, 32) + r.normal(size=(2500, 32)) * 0.05
+    yield "scaled copies", pick(10, 32) * np.exp(r.normal(size=(2500, 1)) * 3) + r.normal(size=(2500, 32)) * 0.01
+    for spread in (1e-2, 1e-4, 1e-6):
+        yield f"three clusters of spread {spread}", pick(3, 32) + r.normal(size=(2500, 32)) * spread
+    yield "no clusters", r.normal(size=(2500, 64))
+
+
+@pytest.mark.parametrize("name,x", list(shapes()), ids=lambda v: v if isinstance(v, str) else "")
+def test_graph_recall(name, x):
+    x = ann._unit(x)
+    g = ann.Graph(x)
+    hits = 0
+    for i in range(0, 2500, 25):
+        sims = x @ x[i]
+        sims[i] = -9
+        near = g.find(x[i], 48, 120)
+        near = near[near != i]
+        hits += (np.sort(x[near] @ x[i])[-5:] >= np.sort(sims)[-5] - 1e-15).sum()
+    assert hits >= 0.9 * 500
+
+
+def test_nearest_routes(spark):
+    """On clustered data a query meets a few of the cells, with recall 0.9 and more against brute force."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(30, 24))[r.integers(0, 30, 4000)] + r.normal(size=(4000, 24)) * 0.1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build(ann.usable(frame, "vec_id", "embedding"), shard_rows=200)
+    assert len(index.centroids) == 20 and index.probes <= 5 and sum(map(len, index.shards)) == index.graphs.count()
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=200).toPandas()
+    unit = ann._unit(x)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        sims = unit @ unit[q]
+        sims[q] = -9
+        hits += len(set(np.argsort(-sims)[:5].tolist()) & set(own.vec_id))
+    assert hits >= 0.9 * 5 * 80
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_nearest_recall_on_tables(spark, sf):
+    frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=500).toPandas()
+    rows = frame.toPandas()
+    unit = ann._unit(np.array(rows.embedding.tolist(), float))
+    ids = rows.vec_id.to_numpy()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        sims = unit @ unit[np.flatnonzero(ids == q)[0]]
+        sims[ids == q] = -9
+        hits += (own.score.to_numpy() >= np.sort(sims)[-5] - 1e-12).sum()
+    assert hits >= 0.9 * len(got)
+
+
 def test_nearest_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = ann.nearest(few, F.col("vec_id") % 50 == 0).collect()

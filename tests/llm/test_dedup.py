@@ -8,7 +8,7 @@ from xxhash import xxh64_intdigest
 
 from tidemark.llm import bitslice
 from tidemark.llm.components import components
-from tidemark.llm.simhash import block_tables, groups, near_duplicates, one_of_each
+from tidemark.llm.simhash import band_plan, block_tables, blocks_for, groups, near_duplicates, one_of_each
 from tidemark.llm.substring_dedup import remove_repeats, units_of
 
 
@@ -134,6 +134,55 @@ def test_near_duplicates(spark, odd):
     assert len(rows) == 6 and sorted(r.text or "" for r in rows if r.doc_id is None) == ["Text without an id, told apart by its words alone."]
 
 
+@pytest.mark.parametrize("words", [8, 9, 12, 14, 24, 34, 54, 104])
+def test_near_duplicates_recall(spark, words):
+    """Pairs at a similarity of exactly or nearly 0.8, by length: at least 0.97 of them are linked, and no pair below."""
+    r = random.Random(words)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows, want = [], 0
+    for i in range(250):
+        n = words - 4  # shingles of the longer text; the shorter one lacks words at its end
+        base = [word() for _ in range(words)]
+        cut = n - int(np.ceil(0.8 * n))
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[: words - cut])), (10 * i + 2, " ".join([word(), *base[1 : words - cut]]))]
+    sets = {d: set(shingles(t, 5)) for d, t in rows}
+    got = {g.doc_id: g.group for g in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked_pairs = hits = 0
+    for i in range(250):
+        similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        assert similar(10 * i, 10 * i + 1)
+        hits += got[10 * i] == got[10 * i + 1]
+        if not similar(10 * i, 10 * i + 2) and not similar(10 * i + 1, 10 * i + 2):
+            linked_pairs += got[10 * i + 2] in (got[10 * i], got[10 * i + 1])
+    assert hits >= 0.97 * 250 and linked_pairs == 0
+
+
+def test_keys_grow():
+    """Keys get wider with the number of rows, so that what shares one doesn't grow; op5's tables stay exact."""
+    assert blocks_for(10**5) == 6 and blocks_for(10**9) == 7 and blocks_for(10**11) == 8
+    for blocks in (6, 7, 8):
+        tables = block_tables(64, blocks, blocks - 4)
+        r = random.Random(blocks)
+        for _ in range(300):
+            flips = set(r.sample(range(64), 4))
+            assert any(not flips & set(t) for t in tables)
+    for n in (10**4, 10**6, 10**9, 10**11):
+        band, words, mean, spread = band_plan(n, 0.8)
+        assert n / 2**band <= 512 and 64 * words // band * band <= 64 * words and 1 - (1 - (1 - mean / (64 * words)) ** band) ** (64 * words // band) > 0.99
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own come back as they were."""
+    names = ["_version", "_spans", "_span_id", "_span_version", "_found", "version", "found", "_hash", "hash", "row", "kept_id", "_kept_id", "_kept_hash", "kept_hash", "node", "id", "digest", "pos"]
+    rows = spark.createDataFrame([(i, "a line of a text\nand more of it", *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    for out in (one_of_each(rows), remove_repeats(rows)):
+        got = out.collect()
+        assert out.columns[: len(rows.columns)] == rows.columns and len(set(out.columns)) == len(out.columns)
+        assert got and all([r[c] for c in names] == list(range(len(names))) for r in got)
+    with pytest.raises(ValueError):
+        remove_repeats(rows.withColumnRenamed("_spans", "removed_spans"))
+
+
 def test_empty(empty):
     assert groups(empty).count() == one_of_each(empty).count() == remove_repeats(empty).count() == 0
 

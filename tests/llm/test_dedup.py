@@ -1,6 +1,7 @@
 """SimHash, near-duplicates and repeated passages against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -243,6 +244,48 @@ def test_passages_from_mid_sentence(spark, documents, lang):
     assert got == want
 
 
+def test_against_brute_force(spark, documents, odd):
+    """Every line and every 30 words of whole tables, null and repeated ids among them, looked up one by one."""
+    from pyspark.sql import functions as F
+
+    docs = documents.select("doc_id", "text").unionByName(odd.where("n_chars is null or n_chars <> 7").select("doc_id", "text"))
+    docs = docs.unionByName(documents.where("doc_id % 9 = 0").select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("own words first\n"), "text").alias("text")))
+    docs = docs.unionByName(documents.where("doc_id % 11 = 0").select(F.lit(5).cast("long").alias("doc_id"), F.concat("text", F.lit(" and last")).alias("text"))).repartition(5)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    rows = remove_repeats(docs.withColumn("was", F.col("text"))).withColumn("version", F.xxhash64("was").bitwiseAND(0x7FFFFFFF)).collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.version))
+    lines, seen = {}, {16: {}, 30: {}}
+    must = missed = removed = 0
+    for rank, r in enumerate({(r.doc_id, r.was): r for r in rows}.values()):
+        words = (r.was or "").lower().split()
+        starts = [m.start() for m in re.finditer(r"\S+", r.was or "")]
+        gone = [any(s.start <= x < s.stop for s in r.removed_spans) for x in starts]
+        covered = {k: [False] * len(words) for k in seen}
+        in_line = [False] * len(words)
+        at = 0
+        for line in (r.was or "").split("\n"):
+            n = len(line.split())
+            if n >= 3:
+                key = tuple(words[at : at + n])
+                if key in lines:
+                    in_line[at : at + n] = [True] * n
+                lines.setdefault(key, rank)
+            at += n
+        for k, known in seen.items():
+            for i in range(len(words) - k + 1):
+                g = tuple(words[i : i + k])
+                if g in known:
+                    covered[k][i : i + k] = [True] * k
+                known.setdefault(g, rank)
+        assert all(g for g, x in zip(gone, in_line) if x), r.doc_id  # repeated lines go
+        assert not [i for i, g in enumerate(gone) if g and not in_line[i] and not covered[16][i]], r.doc_id  # nothing else goes
+        must += sum(covered[30])
+        missed += sum(c and not g for c, g in zip(covered[30], gone))
+        removed += sum(gone)
+        assert (r.was is None) == (r.text is None) and (r.was is None or r.text == "".join(r.was[a:b] for a, b in zip([0, *(s.stop for s in r.removed_spans)], [*(s.start for s in r.removed_spans), len(r.was)])))
+    assert must > 5000 and removed > must and missed < 0.01 * must
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_passages_without_own_id(spark, doc_id):
     """A passage that only rows of one id, or without id, share stays in one of them, once."""

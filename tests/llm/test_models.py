@@ -275,6 +275,19 @@ def test_mixed_rows(spark, documents, odd):
         assert out.agg(F.coalesce(F.sum(mixing.words_of(F.col("text"))), F.lit(0))).first()[0] == plan.agg(F.sum("taken")).first()[0]
 
 
+def test_shards_hold_the_mix(spark, documents):
+    """Each draw is in one shard; the shards' words sum to the targets; repeated and null ids with other texts differ in place."""
+    plan = mixing.plan_mix(documents, shard_levels=4)
+    by_shard = plan.select(F.explode("draws").alias("d")).groupBy("d.shard").agg(F.sum("d.words").alias("n"), F.count("*").alias("rows")).toPandas()
+    total = plan.agg(F.sum("taken")).first()[0]
+    assert len(by_shard) == 16 and by_shard.n.sum() == total and by_shard.n.max() < 2 * total / 16
+    same_id = documents.withColumn("doc_id", F.lit(None).cast("long"))
+    blocks = mixing.plan_mix(same_id, blocks_per_source=64).select(F.explode("draws").alias("d")).select("d.place").distinct().count()
+    assert blocks > documents.select("text").distinct().count() / 2
+    with pytest.raises(ValueError):
+        mixing.mix(documents.withColumn("mix_shard", F.lit(1)))
+
+
 def test_splitting_tree(spark):
     quotas = {"a": 700, "b": 41, "c": 0, None: 259}
     rows = spark.createDataFrame(list(quotas.items()), "source string, quota long")

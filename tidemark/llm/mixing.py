@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree, in DataFrame functions alone.
 
-1. The documents of a source are put in the order of a seeded hash and cut into blocks of equal hash range; the words
-   before each document follow from block totals and a window inside its block. No window spans a source.
+1. The documents of a source are put in the order of a seeded hash of id and text and cut into blocks of equal hash
+   range; the words before each document follow from block totals and a window inside its block. No window spans a
+   source. Words are counted once; what follows reads the counts.
 2. A source's target is its share of all words by weight, at most max_repeat times its size; what is over goes to the
    others by weight. The mix takes a source's documents in hash order, again from the start after each pass, and stops
    at the target: the last document's copy is cut there, so that a source is exact to a word.
@@ -9,13 +10,14 @@
    node the left half draws half of the node's blocks without replacement, so its counts by source are multivariate
    hypergeometric (drawn source by source, by inverting the distribution function at a seeded uniform).
 4. The draws of a source are numbered in a permuted order, and each shard takes the range that its quotas give it.
-   Inside a shard rows are ordered by a seeded hash.
+   Inside a shard rows are ordered by a seeded hash. What the mix takes of a document is what the shards drew of it.
 
-The tree handles one row per source with blocks_per_source bounding the counts; documents meet it through an equi-join.
+The tree handles one row per node with a count for each source, and blocks_per_source bounds the counts; documents meet
+it through an equi-join. It suits up to thousands of sources; group smaller ones before.
 
 Defined cases: null text is empty (size 0, taken 0); the null source is a source, the last; null ids are kept; rows
-that are equal in every column share their fate evenly in hash order; an empty table gives no rows; all sizes 0 give
-targets of 0; other columns pass through untouched, whatever their names.
+that are equal in id and text follow one another in hash order; an empty table gives no rows; all sizes 0 give targets of
+0; other columns pass through untouched, whatever their names, but mix() refuses those named like its own three.
 """
 
 from __future__ import annotations
@@ -104,6 +106,8 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         halves = nodes.withColumn("left", left).withColumn("right", F.zip_with("counts", "left", lambda a, b: a - b))
         child = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), F.col("right").alias("counts"))))
         nodes = halves.select("sources", child.alias("c")).select("c.node", "sources", "c.counts")
+        if level == 3 and levels > 6:  # the lower levels in several tasks
+            nodes = nodes.repartition(16, "node")
     flat = nodes.select(F.col("node").alias("shard"), F.posexplode("counts").alias("i", "quota"), "sources").select("shard", F.get("sources", F.col("i")).alias("source"), "quota")
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return flat.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)).cast("long"))
@@ -119,18 +123,17 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         blocks_per_source = max(1024, 16 * partitions_for(docs.sparkSession))
     if shard_levels is None:
         shard_levels = max(1, math.ceil(math.log2(partitions_for(docs.sparkSession))))
-    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size")]
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_columns else []
-    base = docs.select(*own, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("h"), F.xxhash64(text_col).alias("t"), *row)
-    if keep_columns:
-        sizes = docs.select(F.col(source_col).cast("string").alias("source"), words_of(F.col(text_col)).alias("size"))
-    else:
-        sizes = base.select("source", "size")
-    targets = source_targets(sizes, weights, max_repeat)
+    text = F.col(f"`{text_col}`")
+    ident = F.concat_ws(":", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string"), F.md5(text.cast("binary")))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words_of(text).alias("size"), F.md5(ident.cast("binary")).alias("h"), *row)
+    counted = stored(base.drop("row"), "sizes")
+    if not keep_columns:
+        base = counted
     # Blocks: equal ranges of the hash's first 24 bits.
     block = F.shiftright(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * blocks_per_source, 24).cast("int")
-    key_block = F.shiftright(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 6), 16, 10).cast("long") * blocks_per_source, 24).cast("int")
-    totals = docs.select(F.col(source_col).cast("string").alias("source"), key_block.alias("block"), words_of(F.col(text_col)).alias("size")).groupBy("source", "block").agg(F.sum("size").cast("long").alias("words"))
+    totals = stored(counted.groupBy("source", block.alias("block")).agg(F.sum("size").cast("long").alias("words")), "block-sizes")
+    targets = source_targets(totals.select("source", F.col("words").alias("size")), weights, max_repeat)
     so_far = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = totals.withColumn("block_start", F.coalesce(F.sum("words").over(so_far), F.lit(0)).cast("long"))
     # Passes over the whole source, and words of the last, partial pass.
@@ -143,27 +146,31 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # At most blocks_per_source rows a source, and one row per source and shard: both small, and written, so that no plan holds them twice.
     blocks = stored(blocks.withColumn("n", F.count("*").over(count)).withColumn("quota", F.sum("copies").over(count).cast("long")), "blocks")
     shards = stored(split_quotas(blocks.groupBy("source").agg(F.first("quota").alias("quota")), shard_levels, seed), "quotas")
-    # Draw number of (block, copy), permuted by a step that shares no factor with the quota (a prime above it).
+    # Draw number of (block, copy), permuted by a step that shares no factor with the quota (a prime far above it).
     drawn = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1)))
     number = F.col("copy") * F.col("n") + F.col("rank")
-    drawn = drawn.withColumn("draw", F.when(F.col("copies") > 0, (number * F.lit(1_000_003) + F.lit(seed)) % F.col("quota")))
+    drawn = drawn.withColumn("draw", F.when(F.col("copies") > 0, (number * F.lit((1 << 31) - 1) + F.lit(seed)) % F.col("quota")))
     dealt = drawn.join(shards, drawn["source"].eqNullSafe(shards["source"]) & (F.col("draw") >= F.col("first")) & (F.col("draw") < F.col("first") + shards["quota"]), "left")
     plan = dealt.groupBy(drawn["source"], "block", "block_start", "source_size", "target", "passes", "part").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("at"))
     plan = plan.withColumnRenamed("source", "s").withColumnRenamed("block", "b")
-    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "t", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.withColumn("block", block).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("long"))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["s"]) & (F.col("block") == F.col("b")))
     begin = F.col("block_start") + F.col("inside")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - begin)).cast("long")
-    rows = rows.withColumn("taken", F.col("passes") * F.col("size") + cut)
     copies = F.transform("at", lambda a: F.struct(a["copy"].cast("int").alias("copy"), F.when(a["copy"] < F.col("passes"), F.col("size")).otherwise(cut).alias("words"), a["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("h"), a["copy"]).alias("place")))
     draws = F.filter(copies, lambda c: (c["words"] > 0) & c["shard"].isNotNull())
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", draws.alias("draws"), *(["row"] if keep_columns else []))
+    rows = rows.withColumn("draws", draws)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *(["row"] if keep_columns else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mixed documents: each copy is a row with docs' columns (the cut copy's text ends after its last word) and
     mix_copy, mix_shard, mix_place. Partitioned by shard, in the shard's shuffled order."""
+    taken = {"mix_copy", "mix_shard", "mix_place"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"docs have columns named like the mix's: {sorted(taken)}")
     plan = plan_mix(docs, id_col, text_col, source_col, keep_columns=True, **how)
     rows = plan.withColumn("d", F.explode("draws"))
     # The text splits behind each word; the first k parts are k words with the white space before them.

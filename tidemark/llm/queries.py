@@ -72,7 +72,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     with d as (
       select doc_id, source, text,
         cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-        md5('7:' || cast(doc_id as varchar)) as h
+        md5(concat_ws(':', '7', cast(doc_id as varchar), md5(text))) as h
       from documents
     ), s as (
       select source, cast(sum(size) as bigint) as source_size,
@@ -99,14 +99,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
       from d join e on d.source is not distinct from e.source
     )
     select doc_id, size, source_size, target,
-      cast(passes * size + greatest(0, least(size, part - start)) as bigint) as taken
+      cast(passes * size + greatest(0, least(size, part - start)) as bigint) as taken,
+      cast(case when size > 0 then passes + cast(part > start as bigint) else 0 end as bigint) as copies
     from w
     """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .mixing import plan_mix
 
-    return plan_mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = plan_mix(load(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("copies"))
 
 
 @query("op5_simhash")

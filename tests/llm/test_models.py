@@ -41,9 +41,10 @@ def test_features():
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (99, 1), (3, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
-    odd = odd.withColumns({c: F.lit(1) for c in ("features", "x", "p", "prediction", "probability")})
+    odd = odd.withColumns({c: F.lit(1) for c in ("features", "x", "p", "prediction", "probability", "_x", "_p", "_features", "_text", "_raw", "raw", "_probability", "_calibrated", "calibrated", "predicted", "row")})
     out = toxicity.score(odd, model)
     assert out.columns == [*odd.columns, "toxicity"] and out.count() == odd.count()
+    assert out.where("x = 1 and _x = 1 and p = 1 and _p = 1 and row = 1 and calibrated = 1").count() == odd.count()
     assert toxicity.score(out, model).columns == out.columns
     assert toxicity.score(empty, model).count() == 0 and model.trees is not None
     assert toxicity.fit(odd, labels.where("false")).base == 0.0

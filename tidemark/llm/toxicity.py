@@ -97,20 +97,19 @@ def finder(words: list[str]):
 
 
 def features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """The columns `keep` and `_features`, an array of doubles."""
+    """row, a struct of the columns `keep`, and features, an array of doubles."""
     ship(docs.sparkSession)
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row") if keep else F.lit(None).cast("int").alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = finder([*lexicon, *SECOND_PERSON])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                rows = [_measure(t, hits, lexicon) for t in some.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*keep, "_features"])
+                rows = [_measure(t, hits, lexicon) for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["row", "features"])
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, StructType([*kept.fields, StructField("_features", ArrayType(DoubleType()))]))
+    return own.mapInArrow(run, StructType([own.schema["row"], StructField("features", ArrayType(DoubleType()))]))
 
 
 def learn_lexicon(rows: DataFrame, size: int = 200, min_docs: int = 5, min_lift: float = 4.0) -> dict[str, float]:
@@ -142,12 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if known["bad"] in (0, known["n"]):
         return ToxicityModel({}, known["bad"] / known["n"] if known["n"] else 0.0)
     lexicon = learn_lexicon(rows, lexicon_size)
-    table = stored(features(rows, lexicon, "text", ["doc_id", "label"]), "features").select("doc_id", F.col("label").cast("double").alias("label"), array_to_vector("_features").alias("_x")).repartition(4).cache()
+    table = stored(features(rows, lexicon, "text", ["doc_id", "label"]), "features").select("row.doc_id", F.col("row.label").cast("double").alias("label"), array_to_vector("features").alias("x")).repartition(4).cache()
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4))
-    gbt = GBTClassifier(featuresCol="_x", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, maxBins=64).setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    gbt = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="predicted", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, maxBins=64).setProbabilityCol("probability").setRawPredictionCol("raw")
     model = gbt.fit(table.where(part != 0))
-    scored = model.transform(table.where(part == 0)).select("label", vector_to_array("_probability")[1].alias("_p"))
-    iso = IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_calibrated").fit(scored) if not scored.isEmpty() else None
+    scored = model.transform(table.where(part == 0)).select("label", vector_to_array("probability")[1].alias("p"))
+    iso = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(scored) if not scored.isEmpty() else None
     table.unpersist()
     return ToxicityModel(lexicon, known["bad"] / known["n"], model, iso)
 
@@ -157,12 +156,13 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: l
     keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
     if model.trees is None:
         return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(model.base)).alias("toxicity"))
+    # The row travels as one struct, so its columns may have any names.
     rows = features(docs, model.lexicon, text_col, keep)
-    rows = model.trees.transform(rows.withColumn("_x", array_to_vector("_features")))
-    rows, last = rows.withColumn("_p", vector_to_array("_probability")[1]), "_p"
+    rows = model.trees.transform(rows.withColumn("x", array_to_vector("features")))
+    rows, last = rows.withColumn("p", vector_to_array("probability")[1]), "p"
     if model.calibration is not None:
-        rows, last = model.calibration.transform(rows), "_calibrated"
-    return rows.select(*(F.col(f"`{c}`") for c in keep), F.least(F.greatest(F.col(last), F.lit(0.0)), F.lit(1.0)).alias("toxicity"))
+        rows, last = model.calibration.transform(rows), "calibrated"
+    return rows.select(*(F.col(f"row.`{c}`") for c in keep), F.least(F.greatest(F.col(last), F.lit(0.0)), F.lit(1.0)).alias("toxicity"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

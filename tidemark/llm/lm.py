@@ -238,7 +238,7 @@ def packed(ids: list, texts: list) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, parts: int = 7, rest: int = 2, block_bytes: int = 10_000_000, range_bytes: int = 6_000_000, fan: int = 13, rounds: int = 60) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, parts: int = 7, rest: int = 2, block_bytes: int = 6_000_000, range_bytes: int = 6_000_000, fan: int = 13, rounds: int = 60) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Documents whose crc32 of the id as text,
     modulo `parts`, is `rest` are held out; the others are learned from."""
     spark = docs.sparkSession

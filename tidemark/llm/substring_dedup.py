@@ -160,19 +160,45 @@ def _offsets(text: str) -> list[int]:
 def spans_of(text: str, pos: np.ndarray, near: np.ndarray, lines: np.ndarray, min_words: int) -> list[dict[str, int]]:
     """What to remove of a text whose lines at the words `lines` occurred earlier, and whose anchors at the words `pos`
     have a kept occurrence with `near` beside it."""
+    if not len(pos):
+        return _whole_lines(text, lines)
     gram, window = _sizes(min_words)
     hashes, n = word_hashes([text])
     same = (beside(hashes, n, pos, min_words) == near) & (near != 0)
     more = np.logical_and.accumulate(same.reshape(len(pos), 2, window - 1), axis=2).sum(axis=2)
     runs = [(a, b) for a, b in _joined(pos - more[:, 0], pos + gram + more[:, 1]) if b - a >= min_words]
+    if not runs:
+        return _whole_lines(text, lines)
     sizes = np.array([k for k in line_words_of(text) if k], np.int64)
     stops = np.cumsum(sizes)
     stop = stops[np.searchsorted(stops - sizes, lines)] if len(lines) else lines
     runs = _joined(np.array([*lines, *(a for a, _ in runs)], np.int64), np.array([*stop, *(b for _, b in runs)], np.int64))
-    offsets = _offsets(text) if runs else []
+    offsets = _offsets(text)
     return [{"start": offsets[a], "stop": offsets[b], "words": b - a} for a, b in runs]
 
 
+def _whole_lines(text: str, lines: np.ndarray) -> list[dict[str, int]]:
+    """What to remove where whole lines go and nothing else: no word needs its own offset."""
+    wanted = set(lines.tolist())
+    if not wanted:
+        return []
+    at, word, out, open_ = 0, 0, [], None
+    for line in text.split("\n"):
+        size = len(line.split())
+        if size:
+            start = at + len(line) - len(line.lstrip()) if word else 0
+            if open_ is not None and word not in wanted:
+                out.append({"start": open_[0], "stop": start, "words": word - open_[1]})
+                open_ = None
+            elif open_ is None and word in wanted:
+                open_ = (start, word)
+            word += size
+        at += len(line) + 1
+    if open_ is not None:
+        out.append({"start": open_[0], "stop": len(text), "words": word - open_[1]})
+    return out
+
+
 def _joined(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """The ranges that (begin, end) cover together without a gap."""
     if not len(begin):

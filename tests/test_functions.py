@@ -144,3 +144,71 @@ def test_specs():
 def test_bad_specs(change):
     with pytest.raises(ValueError):
         spec(**change)
+
+
+@pytest.mark.parametrize(
+    "sql,kind,key,args",
+    [
+        ("select payload from gadgets where shop = 3 and id = ?", "point_select", "gadgets:9:3", ["9"]),
+        ("update gadgets set payload = ?, status = ~?~ where id = ? and shop = ?", "point_write", "gadgets:8:9", ["7", "8", "9"]),
+        ("select * from gadgets where id = 1 and shop = 2", "point_select", "gadgets:1:2", []),
+        ("select payload from gadgets where id = ? and shop = ?", "point_select", None, ["1", None]),
+        ("select payload from gadgets where id = 1", "passthrough", None, []),
+        ("delete from gadgets where id = 1 and id = 2", "opaque_write", None, []),
+        ("select payload from gadgets where id = 18446744073709551616 and shop = 1", "passthrough", None, []),
+        ("", "passthrough", None, []),
+        (None, "passthrough", None, []),
+    ],
+)
+def test_composite_keys(spark, sql, kind, key, args):
+    from tidemark.operators import statements
+
+    rows = spark.createDataFrame([(sql and sql.replace("~", "'"), args)], "sql string, args array<string>")
+    out = statements.classify(rows, "gadgets", ["id", "shop"], ["id", "shop", "payload", "status"], whole_table=True)
+    r = statements.bound_keys(out, "gadgets").first()
+    assert (r.kind, r.key_text) == (kind, key)
+
+
+@pytest.mark.parametrize("text,value", [("18446744073709551615", 2**64 - 1), ("18446744073709551616", None), ("12345678901234567890123", None), ("7", 7), ("-1", None)])
+def test_json_version_range(spark, text, value):
+    from tidemark.sources.text import json_version
+
+    got = one(spark, json_version(F.lit('{"v": ' + text + ', "a": {"b": 3}, "a.b": 5}'), "v").alias("v"), json_version(F.lit('{"a": {"b": 3}}'), "a.b").alias("p"))
+    assert (None if got.v is None else int(got.v)) == value and got.p is None
+
+
+def test_key_files(spark, tmp_path):
+    from tidemark.sources import text
+
+    (tmp_path / "keys").write_text("# list\n\n users:1 \nusers:2\n")
+    (tmp_path / "none").write_text("# list\n")
+    assert [r.key for r in text.key_file(spark, str(tmp_path / "keys")).orderBy("line").collect()] == ["users:1", "users:2"]
+    with pytest.raises(ValueError):
+        text.key_file(spark, str(tmp_path / "none"))
+    text.write_reports(spark.createDataFrame([("a", 1.5)], "phase string, p99_us double"), str(tmp_path / "reports"))
+    assert text.reports(spark, str(tmp_path / "reports"), "phase string, p99_us double").first().p99_us == 1.5
+
+
+def test_workload_definitions(spark):
+    from tidemark.sources.text import workload_definitions
+
+    body = "# the control\nid: W1\nname: Uniform control\ndistribution: uniform\nread_fraction: 0.95  # mostly reads\nrows: 10000\nrate: 2000\nworkers: 64\nwarmup: 60s\nmeasure: 300s\nseed: 42"
+    lines = [("w1", x) for x in body.split("\n")] + [("bad", x) for x in body.replace("uniform", "odd").replace("10000", "many").split("\n")]
+    got = {r.file: r for r in workload_definitions(spark.createDataFrame(lines, "file string, value string")).collect()}
+    w = got["w1"]
+    assert (w.id, w.distribution, w.read_fraction, w.rows, w.rate, w.workers, w.warmup_s, w.measure_s, w.seed, w.ready) == ("W1", "uniform", 0.95, 10_000, 2000.0, 64, 60, 300, 42, True)
+    assert got["bad"].rows is None and not got["bad"].ready
+
+
+def test_ranks(spark):
+    """Exact order statistics per group, ties and nulls among them."""
+    import random
+
+    from tidemark.operators.ranks import at_ranks
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 2.0, r.random() * 1e6])) for _ in range(500)]
+    got = {g.k: g for g in at_ranks(spark.createDataFrame(rows, "k string, x double"), "x", ["k"], {"p": F.ceil(F.col("n") * 0.9), "m": F.floor(F.col("n") / 2) + 1}).collect()}
+    for k in ("a", "b", None):
+        xs = sorted(x for g, x in rows if g == k and x is not None)
+        assert got[k].m == xs[len(xs) // 2] and got[k].p == xs[-(-len(xs) * 9 // 10) - 1]

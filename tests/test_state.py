@@ -181,19 +181,63 @@ def test_leases(spark):
 
 
 def test_leases_end(spark):
-    """A lease ends lease_ms after its grant, however often its key is asked for meanwhile."""
+    """A lease ends lease_ms after its grant, however often its key is asked for meanwhile, or with a fill."""
     hour = 3_600_000
     r = random.Random(3)
     misses = [("day", i, i * hour) for i in range(25)] + [(f"k{r.randrange(6)}", 100 + i, r.randrange(40 * hour)) for i in range(400)]
-    want, grants = {}, {}
-    for key, seq, at in sorted(misses, key=lambda m: (m[2], m[1])):
-        new = key not in grants or at - grants[key] > 4 * hour
-        grants[key] = at if new else grants[key]
-        since = at - grants[key]
-        want[seq] = (since, "granted" if new else "waited" if since <= 75 else "wait_exhausted")
-    rows = spark.createDataFrame(misses, "key string, seq long, at_ms long").repartition(5)
-    got = {g.seq: (g.since_ms, g.outcome) for g in reads.lease_outcomes(rows, 4 * hour).collect()}
-    assert got == want and sum(got[i][1] == "granted" for i in range(25)) == 5
+    fills = [(f"k{r.randrange(6)}", 1000 + i, r.randrange(40 * hour)) for i in range(30)]
+    for with_fills in (False, True):
+        want, grants = {}, {}
+        for key, seq, at in sorted(misses + fills * with_fills, key=lambda m: (m[2], m[1])):
+            if seq >= 1000:
+                grants.pop(key, None)
+                continue
+            new = key not in grants or at - grants[key] >= 4 * hour
+            grants[key] = at if new else grants[key]
+            since = at - grants[key]
+            want[seq] = (since, "granted" if new else "waited" if since <= 75 else "wait_exhausted")
+        frame = lambda x: spark.createDataFrame(x, "key string, seq long, at_ms long").repartition(5)
+        out = reads.lease_outcomes(frame(misses), 4 * hour, fills=frame(fills) if with_fills else None)
+        assert {g.seq: (g.since_ms, g.outcome) for g in out.collect()} == want
+        assert sum(want[i][1] == "granted" for i in range(25)) == 7
+    # Every 1.5 s under a lease of 2 s: every second one is granted.
+    often = reads.lease_outcomes(frame([("k", i, 1500 * i) for i in range(8)])).orderBy("seq").collect()
+    assert [g.outcome == "granted" for g in often] == [True, False] * 4
+
+
+def test_recent_keys(spark):
+    """A key in the list isn't moved, the oldest goes, and comes in again."""
+    def held(keys, most):
+        rows = spark.createDataFrame([("a", i, k) for i, k in enumerate(keys)], "shard string, seq long, key string")
+        return [r.key for r in traffic.recent_keys(rows, most).orderBy("place").collect()]
+
+    assert held("ABCA", 2) == ["C", "A"] and held("ABA", 2) == ["A", "B"] and held("AABBC", 10) == ["A", "B", "C"] and held("", 2) == []
+
+
+def test_update_where_keeps_the_keys_type(spark):
+    rows = spark.createDataFrame([("entities:1", "s", True), ("entities:2", "s", True)], "id string, shard string, hit boolean")
+    assert reads.update_where(rows, F.col("hit"), "id", 5).first()["keys"] == ["entities:1", "entities:2"]
+    assert reads.update_where(rows, F.col("hit"), "id", 1).first()["keys"] == []
+
+
+def test_hlc_blocks(spark):
+    """Blocks don't show in the readings; against the recurrence, step by step."""
+    r = random.Random(8)
+    rows = [("a", i, r.choice(["next", "now", "observe"]), r.randrange(50), r.randrange(60) << 16 | r.randrange(4)) for i in range(400)]
+    want, last = {}, 0
+    for _, seq, clock, wall, v in rows:
+        last = max(last + 1, wall << 16) if clock == "next" else max(last, v if clock == "observe" else wall << 16)
+        want[seq] = last
+    frame = spark.createDataFrame(rows, "shard string, seq long, clock string, wall_ms long, v long").repartition(3)
+    for size in (7, 65_536):
+        assert {g.seq: g.hlc for g in state.stamp_hlc(frame, block_rows=size).collect()} == want
+
+
+def test_expiry(spark):
+    """Losing writes don't keep an entry alive."""
+    rows = [("k", 1, "fill", 0, 9, 1, None), ("k", 2, "fill", 900, 3, 2, None), ("k", 3, "fill", 1500, 4, 3, None), ("k", 4, "tombstone", 1600, None, None, 8), ("k", 5, "fill", 1700, 8, 5, None)]
+    got = state.expiry_epochs(spark.createDataFrame(rows, "key string, seq long, op string, at_ms long, rv long, fv long, version long"), 1000).orderBy("seq").collect()
+    assert [(g.epoch, g.applied) for g in got] == [(1, True), (1, False), (2, True), (2, True), (2, True)]
 
 
 def test_client_cap(spark):

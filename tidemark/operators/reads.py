@@ -53,54 +53,74 @@ def update_where(rows: DataFrame, match: Column, key: str, budget: int, shard: s
     out = counts.join(keys, shard).withColumn("degraded", F.col("probed") > budget)
     whole = Window.partitionBy()
     out = out.withColumn("any_degraded", F.max("degraded").over(whole))
-    return out.select(shard, "matched", "degraded", F.when(F.col("any_degraded"), F.expr("cast(array() as array<bigint>)")).otherwise(F.col("found").cast("array<bigint>")).alias("keys"))
+    return out.select(shard, "matched", "degraded", F.when(F.col("any_degraded"), F.slice("found", 1, 0)).otherwise(F.col("found")).alias("keys"))
 
 
-def lease_outcomes(misses: DataFrame, lease_ms: int = 2000, attempts: int = 4, first_wait_ms: int = 5, most_wait_ms: int = 50, by_gaps: bool = False) -> DataFrame:
+def valid_matches(requests: DataFrame, declared: list[tuple[list[str], list[str]]]) -> DataFrame:
+    """requests (match_columns, set_columns: arrays) with `declared`: whether both are, as multisets, those of one declared
+    conditional write; a column that appears twice never is."""
+    same = [(F.array_sort("match_columns") == F.array(*map(F.lit, sorted(m)))) & (F.array_sort("set_columns") == F.array(*map(F.lit, sorted(c)))) for m, c in declared]
+    known = F.lit(False)
+    for one in same:
+        known = known | one
+    return requests.withColumn("declared", F.coalesce(known, F.lit(False)))
+
+
+def lease_outcomes(misses: DataFrame, lease_ms: int = 2000, attempts: int = 4, first_wait_ms: int = 5, most_wait_ms: int = 50, fills: DataFrame | None = None) -> DataFrame:
     """misses (key, at_ms, seq) with `outcome`: granted to the first miss of a key while no lease is out, waited while
     the lease's fill comes within the waits' total, else wait_exhausted; since_ms: time since the grant. A lease ends
-    lease_ms after its grant, so the first miss more than lease_ms after the last grant is granted.
+    lease_ms after its grant, or with its holder's fill (fills: key, at_ms, seq): the next miss is granted.
 
-    by_gaps is the simpler rule that SQL windows can tell: a lease lasts as long as its key's misses follow one another
-    within lease_ms."""
+    Sequential: a task walks its keys' events in order and holds the current key and the time of its last grant."""
     waits, wait = 0, first_wait_ms
     for _ in range(attempts):
         waits, wait = waits + wait, min(2 * wait, most_wait_ms)
-    rows = _since_by_gaps(misses, lease_ms) if by_gaps else _since_grant(misses, lease_ms)
-    outcome = F.when(F.col("_granted"), "granted").when(F.col("since_ms") <= waits, "waited").otherwise("wait_exhausted")
-    return rows.withColumn("outcome", outcome).drop("_granted")
-
-
-def _since_by_gaps(misses: DataFrame, lease_ms: int) -> DataFrame:
-    order = Window.partitionBy("key").orderBy("at_ms", "seq")
-    gap = F.col("at_ms") - F.lag("at_ms").over(order)
-    island = F.sum(F.coalesce((gap > lease_ms).cast("int"), F.lit(1))).over(order)
-    rows = misses.withColumn("_i", island)
-    first = F.min("at_ms").over(Window.partitionBy("key", "_i"))
-    rank = F.row_number().over(Window.partitionBy("key", "_i").orderBy("at_ms", "seq"))
-    return rows.withColumn("_granted", rank == 1).withColumn("since_ms", F.col("at_ms") - first).drop("_i")
-
-
-def _since_grant(misses: DataFrame, lease_ms: int) -> DataFrame:
-    """Sequential: a task walks its keys' misses in order and holds the current key and the time of its last grant."""
+    columns = misses.columns
+    events = misses.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "key", "at_ms", "seq", F.lit(False).alias("fill"))
+    if fills is not None:
+        none = F.lit(None).cast(events.schema["row"].dataType)
+        events = events.unionByName(fills.select(none.alias("row"), "key", "at_ms", "seq", F.lit(True).alias("fill")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, grant = None, None
         for batch in batches:
-            granted, since = [], []
-            for k, at in zip(batch.column("key").to_pylist(), batch.column("at_ms").to_pylist()):
+            granted, since, misses_at = [], [], []
+            for i, (k, at, fill) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "at_ms", "fill")))):
                 if k != key:
                     key, grant = k, None
-                new = at is None or grant is None or at - grant > lease_ms
+                if fill:
+                    grant = None
+                    continue
+                new = at is None or grant is None or at - grant >= lease_ms
                 if new:
                     grant = at
+                misses_at.append(i)
                 granted.append(new)
                 since.append(None if at is None else at - grant)
-            columns = [*batch.columns, pa.array(granted, pa.bool_()), pa.array(since, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_granted", "since_ms"])
-
-    kind = StructType([*misses.schema.fields, StructField("_granted", BooleanType()), StructField("since_ms", LongType())])
-    return misses.repartition("key").sortWithinPartitions("key", "at_ms", "seq").mapInArrow(run, kind)
+            rows = batch.column("row").take(pa.array(misses_at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(granted, pa.bool_()), pa.array(since, pa.int64())], ["row", "granted", "since"])
+
+    kind = StructType([StructField("row", events.schema["row"].dataType), StructField("granted", BooleanType()), StructField("since", LongType())])
+    rows = events.repartition("key").sortWithinPartitions("key", "at_ms", "seq").mapInArrow(run, kind)
+    outcome = F.when(F.col("granted"), "granted").when(F.col("since") <= waits, "waited").otherwise("wait_exhausted")
+    return rows.select(*(F.col(f"row.`{c}`") for c in columns), F.col("since").alias("since_ms"), outcome.alias("outcome"))
+
+
+def gated(reads: DataFrame, admitted: Column, shed: Column, u: Column, bound_ms: Column, skew_ms: int = 250) -> DataFrame:
+    """resolve_reads' rows as the gates let them through. A key that isn't admitted is read at the origin and not filled;
+    a share `shed` of the reads of a failing node (u below it) goes past the cache the same way. With what is told
+    about a read: the level served, whether the cache answered, the reason and the staleness bound (none at the origin)."""
+    gate = F.when(F.col("level") == "STRONG", "strong").when(~admitted, "not_admitted").when(u < shed, "shed")
+    reason = F.coalesce(gate, F.col("outcome"))
+    hit = gate.isNull() & F.col("cache_hit")
+    bound = F.when(hit & (F.col("level") == "BOUNDED"), bound_ms - skew_ms)
+    return reads.select("seq", "key", F.col("level").alias("level_served"), hit.alias("cache_hit"), reason.alias("reason"), (gate.isNull() & F.col("filled")).alias("filled"), bound.cast("long").alias("staleness_bound_ms"))
+
+
+def standby_ops(ops: DataFrame, home_up: Column) -> DataFrame:
+    """The fills and tombstones that go to the standby pool: those made while the key's home pool is down. Folded like
+    any other log; nothing invalidates them later, their short time to live bounds how stale they get."""
+    return ops.where(~home_up)
 
 
 def with_standby(reads: DataFrame, standby: DataFrame, home_up: Column, ttl_ms: int = 30_000) -> DataFrame:

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import at_ranks
+
 #: A figure needs this many runs.
 ENOUGH_RUNS = 3
 GLYPHS = "▁▂▃▄▅▆▇█"
 
 
-def upper_median(x: str) -> Column:
-    """Element n / 2 (counted from 0) of the sorted values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def run_figures(runs: DataFrame, *by: str) -> DataFrame:
-    """runs (p50_us, p99_us, errors): upper medians, the spread of p99, all errors, whether there are enough runs."""
+    """runs (p50_us, p99_us, errors): upper medians (element n / 2, counted from 0, of the sorted values), the spread of
+    p99, all errors, whether there are enough runs. Medians come from ranks of counted values, not from lists."""
     n = F.count("*")
-    return runs.groupBy(*by).agg(upper_median("p50_us").alias("p50_us"), upper_median("p99_us").alias("p99_us"), F.min("p99_us").alias("p99_least"), F.max("p99_us").alias("p99_most"), F.sum("errors").alias("errors"), n.alias("runs"), (n >= ENOUGH_RUNS).alias("sufficient"))
+    out = runs.groupBy(*by).agg(F.min("p99_us").alias("p99_least"), F.max("p99_us").alias("p99_most"), F.sum("errors").alias("errors"), n.alias("runs"), (n >= ENOUGH_RUNS).alias("sufficient"))
+    for c in ("p50_us", "p99_us"):
+        out = out.join(at_ranks(runs, c, list(by), {c: F.floor(F.col("n") / 2) + 1}), list(by), "left")
+    return out.select(*by, "p50_us", "p99_us", "p99_least", "p99_most", "errors", "runs", "sufficient")
+
+
+def newest(history: DataFrame, most: int, commit: str = "commit", at: str = "at") -> DataFrame:
+    """The rows of the `most` newest commits; a commit that was measured again counts with its newest rows alone."""
+    last = history.groupBy(commit).agg(F.max(at).alias("last"))
+    kept = last.orderBy(F.desc("last"), F.desc(commit)).limit(most)  # the feature: a history of that length
+    return history.join(kept, commit).where(F.col(at) == F.col("last")).drop("last")
+
+
+def history_table(history: DataFrame, benchmarks: list[str], commit: str = "commit", at: str = "at") -> DataFrame:
+    """at, line: a Markdown row for each commit, with `ns · allocs` of each benchmark, a dash where it has none."""
+    cell = F.concat(F.format_string("%.1f", "ns"), F.lit(" · "), F.col("allocs"))
+    wide = history.groupBy(commit, at).agg(*(F.coalesce(F.max(F.when(F.col("benchmark") == b, cell)), F.lit("—")).alias(f"b{i}") for i, b in enumerate(benchmarks)))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(commit), *(F.col(f"b{i}") for i in range(len(benchmarks)))), F.lit(" |"))
+    return wide.select(at, line.alias("line"))
 
 
 def merge_reports(reports: DataFrame, by: str, at: str, fields: list[str]) -> DataFrame:

@@ -1,11 +1,20 @@
-"""Statement kinds over a query log, told by a few patterns in the conservative way: whatever isn't plainly a point
-read or write of one declared table passes through. No parser: columns of a DataFrame and regular expressions."""
+"""Statement kinds over a query log, told by patterns in the conservative way: whatever isn't plainly a point read or
+write of one declared table passes through, and a write of that table whose row can't be told is opaque. No parser:
+columns of a DataFrame, regular expressions and array functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical_uint, escape_part
+
+READ = r"^select (.+?) from (\S+) where (.+?)( limit 1)?$"
+UPDATE = r"^update (\S+) set (.+) where (.+)$"
+DELETE = r"^delete from (\S+) where (.+)$"
+WRITE = r"^(?:update|delete from|insert (?:ignore )?into|replace into|truncate (?:table )?)\s*([^\s(]+)"
+TERM = r"^`?([a-z_][a-z0-9_$]*)`? ?= ?([0-9]+|\?)$"
+
 
 def normalised(sql: Column) -> Column:
     """Lower case, comments and surplus white space removed; null where comments could hide something or where there
@@ -13,23 +22,73 @@ def normalised(sql: Column) -> Column:
     text = F.lower(sql)
     odd = text.rlike(r"/\*[!+]|--\S|;\s*\S") | (F.regexp_replace(text, r"/\*.*?\*/", "").contains("/*"))
     plain = F.regexp_replace(F.regexp_replace(text, r"/\*.*?\*/", " "), r"(-- [^\n]*|#[^\n]*)(\n|$)", " ")
-    return F.when(~odd, F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r" ?;$", ""))
+    return F.when(~odd, F.trim(F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r" ?;$", "")))
+
+
+def _names(target: Column, table: str) -> Column:
+    """Whether a target, quoted or not, with a database before it or not, is the table."""
+    return target.rlike(rf"^(`?[a-z_][a-z0-9_$]*`?\.)?`?{table}`?$")
 
 
-def classify(log: DataFrame, table: str, key: str, columns: list[str], sql: str = "sql") -> DataFrame:
-    """log with kind: point_select, point_write, opaque_write or passthrough; key_text: the key's number, or ?."""
+def _marks(text: Column) -> Column:
+    """How many placeholders stand in a text, those in string literals not counted."""
+    bare = F.regexp_replace(text, r"'[^']*'|\"[^\"]*\"", "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit("?"), F.lit("")))
+
+
+def classify(log: DataFrame, table: str, key: list[str] | str, columns: list[str], sql: str = "sql", whole_table: bool = False) -> DataFrame:
+    """log with kind: point_select, point_write, opaque_write or passthrough; columns: what a point_select asks for, in
+    order; key_terms: for each key column, in declared order, the number as written or the position of its placeholder
+    among the statement's; begins and ends: of transactions. `*` is answered only where the declared columns are the
+    whole table."""
+    key = [key] if isinstance(key, str) else key
     q = normalised(F.col(sql))
-    term = rf"`?{key}`? ?= ?([0-9]+|\?)"
-    cols = "|".join(columns)
-    select = rf"^select (`?({cols})`?)( ?, ?`?({cols})`?)* from `?{table}`? where {term}( limit 1)?$"
-    update = rf"^update `?{table}`? set .* where {term}$"
-    delete = rf"^delete from `?{table}`? where {term}$"
-    one_where = F.length(q) - F.length(F.replace(q, F.lit(" where "), F.lit(" where"))) == 1
-    write = (q.rlike(update) & one_where & ~q.contains("'")) | q.rlike(delete)
-    opaque = q.rlike(rf"^(update|delete from|insert into|replace into) `?{table}`?\b")
-    kind = F.when(q.isNull(), "passthrough").when(q.rlike(select), "point_select").when(write, "point_write").when(opaque, "opaque_write").otherwise("passthrough")
-    found = F.regexp_extract(q, rf"where {term}", 1)
-    return log.withColumn("kind", kind).withColumn("key_text", F.when(F.col("kind").isin("point_select", "point_write"), found))
+    part = lambda pattern, i: F.regexp_extract(q, pattern, i)
+    read, update, delete = (q.rlike(p) & _names(part(p, i), table) for p, i in ((READ, 2), (UPDATE, 1), (DELETE, 1)))
+    where = F.when(read, part(READ, 3)).when(update, part(UPDATE, 3)).when(delete, part(DELETE, 2))
+    before = F.when(read, part(READ, 1)).when(update, part(UPDATE, 2)).otherwise("")
+    # Every key column once and nothing else, in any order.
+    terms = F.split(where, " and ")
+    named = F.transform(terms, lambda t: F.regexp_extract(F.trim(t), TERM, 1))
+    values = F.transform(terms, lambda t: F.regexp_extract(F.trim(t), TERM, 2))
+    whole_key = F.array_sort(named) == F.array(*map(F.lit, sorted(key)))
+    fits = F.forall(values, lambda v: (v == "?") | (F.length(v) < 20) | (v.rlike("^[0-9]{20}$") & (v <= "18446744073709551615")))
+    pointed = F.coalesce(whole_key & fits, F.lit(False))
+
+    def term(name: str) -> Column:
+        at = F.array_position(named, name).cast("int")
+        value = F.get(values, at - 1)
+        earlier = F.size(F.filter(F.slice(values, 1, F.greatest(at - 1, F.lit(0))), lambda v: v == "?"))
+        return F.struct(F.when(value != "?", value).alias("literal"), F.when(value == "?", _marks(before) + earlier).cast("int").alias("param"))
+
+    listed = F.transform(F.split(part(READ, 1), ","), lambda c: F.regexp_replace(F.trim(c), r"^`|`$", ""))
+    star = part(READ, 1) == "*"
+    asked = F.when(star, F.array(*map(F.lit, columns))).otherwise(listed)
+    known = F.when(star, F.lit(whole_table)).otherwise(F.forall(listed, lambda c: c.isin(columns)))
+    point_read = F.coalesce(read & known & pointed, F.lit(False))
+    point_write = F.coalesce((update | delete) & pointed, F.lit(False))
+    kind = F.when(q.isNull(), "passthrough").when(point_read, "point_select").when(point_write, "point_write").when(_names(part(WRITE, 1), table), "opaque_write").otherwise("passthrough")
+    out = log.withColumn("kind", kind).withColumn("columns", F.when(point_read, asked))
+    out = out.withColumn("key_terms", F.when(point_read | point_write, F.array(*map(term, key))))
+    return out.withColumn("begins", F.coalesce(q.isin("begin", "start transaction"), F.lit(False))).withColumn("ends", F.coalesce(q.isin("commit", "rollback"), F.lit(False)))
+
+
+def bound_keys(classified: DataFrame, table: str, args: str = "args") -> DataFrame:
+    """classified statements with key_text, the row's key once the arguments (an array of texts) are bound: prepared
+    statements are classified once and bound at each run. Null where an argument is missing or null."""
+    value = lambda t: F.coalesce(t["literal"], F.get(F.col(args), t["param"]))
+    parts = F.transform("key_terms", lambda t: escape_part(value(t)))
+    known = F.forall("key_terms", lambda t: value(t).isNotNull())
+    return classified.withColumn("key_text", F.when(known, F.concat_ws(":", F.lit(table), F.array_join(parts, ":"))))
+
+
+def in_transactions(classified: DataFrame, connection: str = "connection", seq: str = "seq") -> DataFrame:
+    """classified statements with in_tx: whether a transaction of their connection is open, by its statements before."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(connection).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("begins"), True).when(F.col("ends"), False), ignorenulls=True).over(before)
+    return classified.withColumn("in_tx", F.coalesce(last, F.lit(False)))
 
 
 def routed(classified: DataFrame, in_tx: str = "in_tx") -> DataFrame:
@@ -37,3 +96,12 @@ def routed(classified: DataFrame, in_tx: str = "in_tx") -> DataFrame:
     follows (for opaque writes of the table it can't be told which keys, so it is refused)."""
     cached = (F.col("kind") == "point_select") & ~F.col(in_tx)
     return classified.withColumn("served_by", F.when(F.col("kind") == "opaque_write", "refused").when(cached, "cache").otherwise("origin")).withColumn("invalidates", F.col("kind") == "point_write")
+
+
+def typed(value: Column, kind: str) -> Column:
+    """A cached text as a result of a declared type: struct(number, bytes, served). Integers are read, other types are
+    bytes; an integer that can't be read isn't served."""
+    if not kind.startswith("uint"):
+        return F.struct(F.lit(None).cast("decimal(20,0)").alias("number"), value.cast("binary").alias("bytes"), value.isNotNull().alias("served"))
+    number = canonical_uint(value, int(kind[4:]))
+    return F.struct(number.alias("number"), F.lit(None).cast("binary").alias("bytes"), number.isNotNull().alias("served"))

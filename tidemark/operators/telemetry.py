@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import at_ranks
+
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
 
@@ -22,9 +26,29 @@ def origin_qps(outcomes: DataFrame, *by: str) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Exact percentiles (values that occur), largest, mean and count."""
-    exact = [F.expr(f"percentile_disc({q}) within group (order by `{value}`)").cast("double").alias(n) for n, q in PERCENTILES.items()]
-    return rows.groupBy(*by).agg(*exact, F.max(value).alias("most"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    """Exact percentiles (values that occur), largest, mean and count. Values are counted before they are ranked, so no
+    task holds a group's values; `latency_sketch` is the cheaper way where near values do."""
+    exact = at_ranks(rows, value, list(by), {n: F.ceil(F.col("n") * q) for n, q in PERCENTILES.items()})
+    sums = rows.groupBy(*by).agg(F.max(value).alias("most"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    if not by:
+        return exact.crossJoin(sums)  # one row each
+    same = [sums[c].eqNullSafe(exact[c]) for c in by]
+    joined = sums.join(exact, reduce(lambda a, b: a & b, same), "left")
+    return joined.select(*(sums[c] for c in by), *(F.col(n).cast("double").alias(n) for n in PERCENTILES), "most", "mean", "n")
+
+
+def count_above(buckets: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """buckets (low, n: how many values lie in the bucket that begins at low): how many values are surely above the
+    threshold, those of buckets that begin above it, and their share."""
+    above, n = F.coalesce(F.sum(F.when(F.col("low") > threshold, F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    return buckets.groupBy(*by).agg(above.alias("above"), n.alias("n"), F.when(n > 0, above / n).otherwise(0.0).alias("share"))
+
+
+def success_ratio(samples: DataFrame, good: Column, *by: str) -> DataFrame:
+    """The share of a counter's increase (samples: increase) that counts as good, summed by labels."""
+    part = F.coalesce(F.sum(F.when(good, F.col("increase"))), F.lit(0.0))
+    whole = F.coalesce(F.sum("increase"), F.lit(0.0))
+    return samples.groupBy(*by).agg(part.alias("good"), whole.alias("whole"), F.when(whole > 0, part / whole).alias("ratio"))
 
 
 def latency_sketch(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -38,9 +62,10 @@ def merged_percentiles(sketches: DataFrame, *by: str) -> DataFrame:
 
 
 def lateness(requests: DataFrame, interval_us: int, run: str = "run") -> DataFrame:
-    """Open-loop latency of requests (i, started_us, ended_us): from when the request was due, so that a stall counts."""
-    due = F.min("started_us").over(Window.partitionBy(run)) + F.col("i") * interval_us
-    rows = requests.withColumn("due_us", due)
+    """Open-loop latency of requests (i, started_us, ended_us): from when the request was due, so that a stall counts.
+    A run's start is a grouped minimum, joined back."""
+    first = requests.groupBy(run).agg(F.min("started_us").alias("first_us"))
+    rows = requests.join(first, run).withColumn("due_us", F.col("first_us") + F.col("i") * interval_us).drop("first_us")
     return rows.withColumn("latency_us", F.col("ended_us") - F.col("due_us")).withColumn("behind", F.col("started_us") - F.col("due_us") > interval_us)
 
 
@@ -55,12 +80,19 @@ def staleness(writes: DataFrame, reads: DataFrame, give_up_ms: int) -> DataFrame
     return w.join(first, ["key", "wseq"], "left").select("key", F.col("wseq").alias("seq"), "version", (F.col("seen_ms") - F.col("written_ms")).alias("staleness_ms"))
 
 
-def counter_rate(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Per-second rate between neighbouring samples (at_ms, value) of a counter; a fall is a restart from 0."""
-    order = Window.partitionBy(*by).orderBy("at_ms")
-    before, then = F.lag("value").over(order), F.lag("at_ms").over(order)
-    grown = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    return samples.withColumn("rate", F.when(F.col("at_ms") > then, grown * 1000.0 / (F.col("at_ms") - then)))
+def counter_rate(samples: DataFrame, by: list[str], slice_ms: int = 3_600_000) -> DataFrame:
+    """Per-second rate between neighbouring samples (at_ms, value) of a counter; a fall is a restart from 0. Samples are
+    compared inside time slices; a slice's first one meets the last one of the slices before, one row a slice."""
+    rows = samples.withColumn("_slice", F.floor(F.col("at_ms") / slice_ms).cast("long"))
+    inside, over_slices = Window.partitionBy(*by, "_slice").orderBy("at_ms"), Window.partitionBy(*by).orderBy("_slice")
+    last = rows.groupBy(*by, "_slice").agg(F.max(F.struct("at_ms", "value")).alias("_last"))
+    last = last.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_slice").alias("_at"), F.lag("_last").over(over_slices).alias("_before"))
+    rows = rows.join(last, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_slice") == F.col("_at")))
+    before = F.coalesce(F.lag(F.struct("at_ms", "value")).over(inside), F.col("_before"))
+    rows = rows.withColumn("_before", before)
+    grown = F.when(F.col("value") < F.col("_before.value"), F.col("value")).otherwise(F.col("value") - F.col("_before.value"))
+    since = F.col("at_ms") - F.col("_before.at_ms")
+    return rows.withColumn("rate", F.when(since > 0, grown * 1000.0 / since)).select(*samples.columns, "rate")
 
 
 def histogram_quantile(buckets: DataFrame, q: float, by: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +45,23 @@ def breaker(log: DataFrame, node: str, slice_ms: int = 1000, slices: int = 10, m
     return counts.withColumn("shed", shed_probability(F.col("failures"), F.col("requests"), min_requests, floor, most))
 
 
-def sketch(log: DataFrame, cells: Column) -> DataFrame:
-    """Count-min sketch of a log: row, cell, n. cells: the array of a key's cells. Keys are counted before they are
-    hashed, so a hot key is hashed once per task."""
-    counts = log.groupBy("key").agg(F.count("*").alias("n"))
-    return counts.select(F.posexplode(cells).alias("row", "cell"), "n").groupBy("row", "cell").agg(F.sum("n").alias("n"))
+def sketch(log: DataFrame, cells: Column, *by: str) -> DataFrame:
+    """Count-min sketch of a log (one for each value of `by`, such as a time slice): by, row, cell, n. cells: the array of
+    a key's cells. Keys are counted before they are hashed, so a hot key is hashed once per task."""
+    counts = log.groupBy(*by, "key").agg(F.count("*").alias("n"))
+    return counts.select(*by, F.posexplode(cells).alias("row", "cell"), "n").groupBy(*by, "row", "cell").agg(F.sum("n").alias("n"))
+
+
+def decayed_sketch(sliced: DataFrame, slices: int, slice_col: str = "slice") -> DataFrame:
+    """sketches per time slice (slice, row, cell, n) as they stand at each slice in which a cell changes: the sums over
+    the last `slices` slices; what is older has been cleared."""
+    frame = Window.partitionBy("row", "cell").orderBy(slice_col).rangeBetween(-(slices - 1), 0)
+    return sliced.withColumn("n", F.sum("n").over(frame))
+
+
+def sketch_at(sliced: DataFrame, at: int, slices: int, slice_col: str = "slice") -> DataFrame:
+    """The sketch (row, cell, n) as it stands in slice `at`."""
+    return sliced.where((F.col(slice_col) <= at) & (F.col(slice_col) > at - slices)).groupBy("row", "cell").agg(F.sum("n").alias("n"))
 
 
 def sketch_estimates(keys: DataFrame, counts: DataFrame, cells: Column) -> DataFrame:
@@ -54,6 +70,31 @@ def sketch_estimates(keys: DataFrame, counts: DataFrame, cells: Column) -> DataF
     return asked.join(counts, ["row", "cell"], "left").groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
-def recent_keys(log: DataFrame, most: int = 10_000) -> DataFrame:
-    """The `most` keys whose first touch is latest (touching again doesn't refresh)."""
-    return log.groupBy("key").agg(F.min("seq").alias("first_seq")).orderBy(F.desc("first_seq")).limit(most)
+def recent_keys(log: DataFrame, most: int = 10_000, owner: str = "shard") -> DataFrame:
+    """owner, place (0 the oldest), key: what each owner's list of recent keys holds after its log (owner, seq, key). A key
+    that is in the list isn't moved by another touch; where the list is full the oldest goes, and may come in again.
+
+    Sequential per owner: a task walks its owners' touches in order and holds one list of at most `most` keys."""
+    out = pa.schema([(owner, pa.string()), ("place", pa.int32()), ("key", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, held = None, OrderedDict()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([whose] * len(held), pa.string()), pa.array(range(len(held)), pa.int32()), pa.array(list(held), pa.string())], schema=out)
+
+        for batch in batches:
+            for o, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if o != whose:
+                    if held:
+                        yield rows()
+                    whose, held = o, OrderedDict()
+                if key not in held:
+                    if len(held) >= most:
+                        held.popitem(last=False)
+                    held[key] = True
+        if held:
+            yield rows()
+
+    rows = log.select(F.col(owner).cast("string").alias(owner), "key", "seq")
+    return rows.repartition(owner).sortWithinPartitions(owner, "seq").select(owner, "key").mapInArrow(run, f"{owner} string, place int, key string")

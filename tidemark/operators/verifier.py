@@ -87,3 +87,27 @@ def violation_traces(violations: DataFrame, events: DataFrame, most: int = 32) -
     item = F.struct("at_ms", "seq", "op", "version")
     traces = trace(events, most).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("trace"))
     return violations.join(traces, "key", "left")
+
+
+def sampling_rounds(keys: DataFrame, every_ms: int = 1000, batch: int = 100) -> DataFrame:
+    """keys (key, i: 0-based place in the list) with the round in which each is checked first, and when: `batch` keys every
+    every_ms, in turn, and again from the start when all have been checked."""
+    return keys.select("key", F.floor(F.col("i") / batch).cast("long").alias("round"), (F.floor(F.col("i") / batch) * every_ms).cast("long").alias("at_ms"))
+
+
+def round_stats(checks: DataFrame, *by: str) -> DataFrame:
+    """What a verifier has done, over its checks (round, behind, levels): rounds, checked keys, violations (one for each
+    level that a check breaks) and errors (checks whose sides could not be compared)."""
+    return checks.groupBy(*by).agg(F.count_distinct("round").alias("rounds"), F.count("*").alias("checked"), F.coalesce(F.sum(F.size("levels")), F.lit(0)).cast("long").alias("violations"), F.count_if(F.col("behind").isNull()).alias("errors"))
+
+
+def false_positive_rate(stats: DataFrame, most: float = 0.01) -> DataFrame:
+    """stats of a writer that is known to be correct, with the share of checks reported all the same, and whether it is low
+    enough for a verifier that anybody keeps running."""
+    rate = F.when(F.col("checked") > 0, F.col("violations") / F.col("checked")).otherwise(0.0)
+    return stats.withColumn("rate", rate).withColumn("acceptable", rate <= most)
+
+
+def shadow(measured: DataFrame, on: bool = True) -> DataFrame:
+    """The same figures with the label of a shadow run, which measures and changes nothing."""
+    return measured.withColumn("shadow_mode", F.lit(on))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..operators import catalog as K
-from ..operators import sessions
+from ..operators import reports, sessions, statements, telemetry
+from ..sources import text
 from .base import load, query
 from .read_queries import CACHED_SQL, cached_reads
 from .state_queries import ENTITIES, GADGETS
@@ -89,3 +91,57 @@ def offline_check(spark, d) -> DataFrame:
     low = F.coalesce(F.col("fv") < F.col("watermark"), F.lit(False))
     old = F.shiftrightunsigned("fv", 16) < F.col("at_ms") - 24 * 3_600_000
     return rows.join(back, "seq", "left").groupBy("shard").agg(F.count("*").alias("probes"), F.count_if(low).alias("session_breaks"), F.count_if(old).alias("bounded_breaks"), F.count_if(F.coalesce("back", F.lit(False))).alias("monotonic_breaks"))
+
+
+@query("count_above", "select l_returnflag, count_if(floor(l_extendedprice / 1000) * 1000 > 50000) as above, count(*) as n, round(count_if(floor(l_extendedprice / 1000) * 1000 > 50000) / count(*)::double, 9) as share from lineitem group by l_returnflag")
+def count_above(spark, d) -> DataFrame:
+    """How many prices lie in buckets of 1000 that begin above 50000."""
+    low = F.floor(F.col("l_extendedprice") / 1000).cast("double") * 1000
+    buckets = load(spark, d, "lineitem").groupBy("l_returnflag", low.alias("low")).agg(F.count("*").alias("n"))
+    return telemetry.count_above(buckets, 50_000, "l_returnflag").withColumn("share", F.round("share", 9))
+
+
+@query("success_ratio", "select user_id % 5 as part, cast(count_if(event_type <> 'error') as double) as good, cast(count(*) as double) as whole, round(count_if(event_type <> 'error') / count(*)::double, 9) as ratio from events group by 1")
+def success_ratio(spark, d) -> DataFrame:
+    samples = load(spark, d, "events").groupBy((F.col("user_id") % 5).alias("part"), "event_type").agg(F.count("*").cast("double").alias("increase"))
+    return telemetry.success_ratio(samples, F.col("event_type") != "error", "part").withColumn("ratio", F.round("ratio", 9))
+
+
+@query(
+    "newest_commits",
+    """with h as (select 'c' || o_custkey as c, o_orderkey as moment, o_orderpriority as b, floor(o_totalprice) as ns, o_orderkey % 5 as allocs from orders),
+    l as (select c, max(moment) as last from h group by c order by last desc, c desc limit 25)
+    select moment as "at", '| ' || h.c || ' | ' || coalesce(max(case when b = '1-URGENT' then printf('%.1f', ns) || ' · ' || allocs end), '—') || ' | ' || coalesce(max(case when b = '5-LOW' then printf('%.1f', ns) || ' · ' || allocs end), '—') || ' |' as line
+    from h join l on h.c = l.c and h.moment = l.last group by h.c, moment""",
+)
+def newest_commits(spark, d) -> DataFrame:
+    """The history of the 25 newest commits as rows of a table of two benchmarks."""
+    h = load(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("commit"), F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("benchmark"), F.floor("o_totalprice").cast("double").alias("ns"), (F.col("o_orderkey") % 5).alias("allocs"))
+    return reports.history_table(reports.newest(h, 25), ["1-URGENT", "5-LOW"])
+
+
+@query("typed_results", "select p_partkey, case when p_partkey % 4 <> 0 and p_partkey <= 255 then p_partkey::decimal(20,0) end as number, p_partkey % 4 <> 0 and p_partkey <= 255 as served, octet_length(encode(p_name)) as bytes from part")
+def typed_results(spark, d) -> DataFrame:
+    """Cached texts as results: a small integer (with leading zeros, or too large, it isn't served) and bytes."""
+    text = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("0"), "p_partkey")).otherwise(F.col("p_partkey").cast("string"))
+    rows = load(spark, d, "part").select("p_partkey", statements.typed(text, "uint8").alias("i"), statements.typed(F.col("p_name"), "bytes").alias("b"))
+    return rows.select("p_partkey", F.col("i.number").alias("number"), F.col("i.served").alias("served"), F.octet_length("b.bytes").alias("bytes"))
+
+
+@query("scanned_keys", "select 'entities:' || c_custkey as key, 'scan' as source, true as degraded from customer")
+def scanned_keys(spark, d) -> DataFrame:
+    """Keys found in a key space that holds other names too."""
+    c = load(spark, d, "customer")
+    names = c.select(F.concat(F.lit("app:{entities:"), "c_custkey", F.lit("}")).alias("name")).unionByName(c.select(F.concat(F.lit("lock:"), "c_custkey").alias("name")))
+    return text.scanned_keys(names, "app:{", "}")
+
+
+@query("keys_in_turn", "select n_nationkey as n, ['a', 'b', 'c'][n_nationkey % 3 + 1] as key from nation")
+def keys_in_turn(spark, d) -> DataFrame:
+    return text.in_turn(["a", "b", "c"], load(spark, d, "nation").select(F.col("n_nationkey").alias("n")))
+
+
+@query("quoted_names", "select c_custkey, '`' || replace(c_name || '`x', '`', '``') || '`' as quoted, 'row:' || c_custkey || ':v' as filled from customer")
+def quoted_names(spark, d) -> DataFrame:
+    c = load(spark, d, "customer")
+    return c.select("c_custkey", columns.quote_identifier(F.concat("c_name", F.lit("`x"))).alias("quoted"), columns.fill_template(F.lit("row:{key}:v"), F.col("c_custkey").cast("string")).alias("filled"))

@@ -171,17 +171,51 @@ def monotonic_reads_check(spark, d) -> DataFrame:
 
 @query(
     "lease_outcomes",
-    f"""with {LOG_SQL}, m as (
-      select seq, key, at_ms, at_ms - lag(at_ms) over (partition by key order by at_ms, seq) as gap from log where op = 'get'
-    ), i as (
-      select *, sum(case when gap <= 14400000 then 0 else 1 end) over (partition by key order by at_ms, seq rows between unbounded preceding and current row) as i from m
-    ), r as (
-      select *, row_number() over (partition by key, i order by at_ms, seq) as r, at_ms - min(at_ms) over (partition by key, i) as since_ms from i
-    ) select seq, key, since_ms, case when r = 1 then 'granted' when since_ms <= 75 then 'waited' else 'wait_exhausted' end as outcome from r""",
+    f"""with recursive {LOG_SQL}, e as (
+      select seq, key, at_ms, op = 'put' as fill, row_number() over (partition by key order by at_ms, seq) as i from log where op in ('get', 'put')
+    ), s as (
+      select key, i, seq, at_ms, fill, case when not fill then at_ms end as grant_ms, not fill as granted from e where i = 1
+      union all
+      select e.key, e.i, e.seq, e.at_ms, e.fill, case when e.fill then null when s.grant_ms is null or e.at_ms - s.grant_ms >= 14400000 then e.at_ms else s.grant_ms end,
+        not e.fill and (s.grant_ms is null or e.at_ms - s.grant_ms >= 14400000)
+      from s join e on e.key = s.key and e.i = s.i + 1
+    ) select seq, key, at_ms - grant_ms as since_ms, case when granted then 'granted' when at_ms - grant_ms <= 75 then 'waited' else 'wait_exhausted' end as outcome from s where not fill""",
 )
 def lease_outcomes(spark, d) -> DataFrame:
-    out = R.lease_outcomes(log(spark, d).where("op = 'get'"), 14_400_000, by_gaps=True)  # the rule of its SQL
-    return out.select("seq", "key", "since_ms", "outcome")
+    """Leases of four hours; a put of the key is its holder's fill."""
+    rows = log(spark, d)
+    return R.lease_outcomes(rows.where("op = 'get'"), 14_400_000, fills=rows.where("op = 'put'")).select("seq", "key", "since_ms", "outcome")
+
+
+@query(
+    "gated_reads",
+    f"""with {RESOLVED_SQL}, g as (
+      select seq, key, level, outcome, case when level = 'STRONG' then 'strong' when cast(split_part(key, ':', 2) as bigint) % 7 = 0 then 'not_admitted'
+        when seq * 7919 % 1000 / 1000.0 < case when seq % 3 = 0 then 0.25 else 0.0 end then 'shed' end as gate from resolved
+    ) select seq, key, level as level_served, gate is null and outcome in ('hit', 'negative_hit') as cache_hit, coalesce(gate, outcome) as reason,
+      gate is null and outcome in ('stale', 'miss') as filled,
+      cast(case when gate is null and outcome in ('hit', 'negative_hit') and level = 'BOUNDED' then {_BOUND} - 250 end as bigint) as staleness_bound_ms from g""",
+)
+def gated_reads(spark, d) -> DataFrame:
+    """Reads past the admission gate (every seventh key isn't admitted) and the breaker's (a quarter of some reads is shed)."""
+    admitted = F.element_at(F.split("key", ":"), 2).cast("long") % 7 != 0
+    shed = F.when(F.col("seq") % 3 == 0, 0.25).otherwise(0.0)
+    return R.gated(resolved(spark, d), admitted, shed, F.col("seq") * 7919 % 1000 / 1000.0, F.lit(_BOUND))
+
+
+@query("standby_state", f"with {STATE_SQL.replace('from ops group by key', 'from ops where seq % 5 = 0 group by key')} select key, rv, fv, tv, live from state")
+def standby_state(spark, d) -> DataFrame:
+    """What the standby pool holds: the writes made while the home pool was down, folded."""
+    return S.fold_state(R.standby_ops(ops(spark, d), F.col("seq") % 5 != 0)).select("key", "rv", "fv", "tv", "live")
+
+
+@query("valid_matches", "select o_orderkey, o_orderkey % 4 = 0 or o_orderkey % 4 = 3 as declared from orders")
+def valid_matches(spark, d) -> DataFrame:
+    """Conditional writes whose columns are declared (in any order), lack one, or repeat one."""
+    asked = [(["tenant_id", "status"], ["payload"]), (["tenant_id"], ["payload"]), (["tenant_id", "status", "status"], ["payload"]), (["status", "tenant_id"], ["payload"])]
+    pick = lambda i: F.get(F.array(*(F.array(*map(F.lit, a[i])) for a in asked)), (F.col("o_orderkey") % 4).cast("int"))
+    rows = load(spark, d, "orders").select("o_orderkey", pick(0).alias("match_columns"), pick(1).alias("set_columns"))
+    return R.valid_matches(rows, [(["tenant_id", "status"], ["payload"])]).select("o_orderkey", "declared")
 
 
 @query(

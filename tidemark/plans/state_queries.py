@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.schema import ColumnSpec, TableSpec
 from ..operators import state as S
-from .base import LOG_SQL, OPS_SQL, STATE_SQL, load, log, ops, query
+from .base import LOG_SQL, OPS_SQL, STATE_SQL, load, log, ops, query, scratch
 
 ENTITIES = TableSpec("entities", tuple(ColumnSpec(*c) for c in (("id", "uint64"), ("tenant_id", "uint32"), ("status", "uint8"), ("payload", "bytes"), ("version", "uint64"))), ("id",), "version")
 GADGETS = TableSpec("gadgets", (ColumnSpec("sku", "string", False, "utf8mb4_bin"), ColumnSpec("region", "string"), ColumnSpec("price", "text"), ColumnSpec("note", "text", True), ColumnSpec("row_version", "uint64")), ("sku",), "row_version")
@@ -35,17 +35,66 @@ def state_applied(spark, d) -> DataFrame:
     return S.replay_applied(ops(spark, d)).select("seq", "key", "op", "applied")
 
 
-@query(
-    "state_expiry_epochs",
-    f"""with {OPS_SQL}, gaps as (
-      select *, case when at_ms - lag(at_ms) over (partition by key order by seq) <= 86400000 then 0 else 1 end as fresh from ops
-    ), e as (
-      select *, sum(fresh) over (partition by key order by seq rows between unbounded preceding and current row) as epoch from gaps
-    ) select key, cast(epoch as bigint) as epoch, count(*) as n, max(rv) as rv, max(version) as tv from e group by key, epoch""",
+DAY = 86_400_000
+#: Each key's operations one after another: an entry ends a day after the last write that won (CTE `epochs`).
+EPOCHS_SQL = (
+    OPS_SQL
+    + f""", o as (select *, row_number() over (partition by key order by seq) as i from ops), epochs as (
+  select key, i, seq, 1 as epoch, rv, case when rv is not null then fv end as fv, version as tv, at_ms + {DAY} as ends, true as applied from o where i = 1
+  union all
+  select key, i, seq, epoch, case when not won then rv when op = 'fill' then nrv end, case when not won then fv when op = 'fill' then nfv end,
+    case when won and op = 'tombstone' then nver else tv end, case when won then at_ms + {DAY} else ends end, won
+  from (
+    select *, case when op = 'fill' then nrv >= coalesce(tv, 0) and (rv is null or nrv > rv or (nrv = rv and nfv > fv)) else nver > coalesce(rv, -1) and nver > coalesce(tv, 0) end as won
+    from (
+      select o.key, o.i, o.seq, o.op, o.at_ms, o.rv as nrv, o.fv as nfv, o.version as nver, e.epoch + case when o.at_ms >= e.ends then 1 else 0 end as epoch,
+        case when o.at_ms < e.ends then e.rv end as rv, case when o.at_ms < e.ends then e.fv end as fv, case when o.at_ms < e.ends then e.tv end as tv, case when o.at_ms < e.ends then e.ends end as ends
+      from epochs e join o on o.key = e.key and o.i = e.i + 1))
+)"""
 )
+
+
+@query("state_expiry_epochs", f"with recursive {EPOCHS_SQL} select seq, key, cast(epoch as bigint) as epoch, applied from epochs")
 def state_expiry_epochs(spark, d) -> DataFrame:
-    rows = S.expiry_epochs(ops(spark, d), 86_400_000)
-    return rows.groupBy("key", F.col("epoch").cast("long").alias("epoch")).agg(F.count("*").alias("n"), F.max("rv").alias("rv"), F.max("version").alias("tv"))
+    return S.expiry_epochs(ops(spark, d), DAY).select("seq", "key", "epoch", "applied")
+
+
+@query("stream_expiry", f"with recursive {EPOCHS_SQL} select seq, key, cast(epoch as bigint) as epoch, applied from epochs")
+def stream_expiry(spark, d) -> DataFrame:
+    """The same over a stream, with the entries as its state."""
+    from ..streaming import folds, stateful
+
+    folder, out = scratch(spark, "ops"), scratch(spark, "stream-expiry")
+    rows = ops(spark, d).select("key", "seq", "op", "at_ms", "rv", "fv", "version")
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(folder)
+    folds.run_once(stateful.expiring_stream(stream, DAY), out, scratch(spark, "stream-checkpoint"), "append")
+    return spark.read.schema("key string, seq long, epoch long, applied boolean").parquet(f"{out}/*").select("seq", "key", "epoch", "applied")
+
+
+NOW = 1_705_000_000_000
+#: The current entries with the fingerprint and the end of the fill that wrote them.
+ENTRY_SQL = OPS_SQL + f""", w as (
+  select key, -max(case when op = 'fill' then {{'rv': rv, 'fv': fv, 'first': -seq}} end).first as seq, max(version) as tv from ops group by key
+), entry as (
+  select w.key, o.rv, case when o.seq % 3 = 0 then 'old' else 'new' end as fingerprint, o.at_ms + {20 * DAY} as expires_at_ms, coalesce(o.rv >= coalesce(w.tv, 0), false) as live
+  from w join ops o on o.seq = w.seq
+)"""
+
+
+def entries(spark, d) -> DataFrame:
+    rows = ops(spark, d).withColumn("fingerprint", F.when(F.col("seq") % 3 == 0, "old").otherwise("new")).withColumn("expires_at_ms", F.col("at_ms") + 20 * DAY)
+    return S.fold_state(rows)
+
+
+@query("readable_entries", f"with {ENTRY_SQL} select key, rv from entry where live and fingerprint = 'new' and expires_at_ms > {NOW}")
+def readable_entries(spark, d) -> DataFrame:
+    return S.readable(entries(spark, d), "new", NOW).select("key", "rv")
+
+
+@query("remaining_ttl", f"with {ENTRY_SQL} select k.key, cast(case when live and expires_at_ms > {NOW} then expires_at_ms - {NOW} else -2 end as bigint) as ttl_ms, false as endless from (select distinct key from log) k left join entry e on e.key = k.key")
+def remaining_ttl(spark, d) -> DataFrame:
+    return S.remaining_ttl(log(spark, d), entries(spark, d).where("live"), NOW)
 
 
 @query(

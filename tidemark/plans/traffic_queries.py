@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from ..operators import telemetry as T
 from ..operators import traffic as A
 from ..sources import generate, text
 from ..streaming import folds, stateful
-from .base import LOG_SQL, STATE_SQL, load, log, log_of, query, writes_of
+from .base import LOG_SQL, STATE_SQL, load, log, log_of, query, scratch, writes_of
 from .read_queries import RESOLVED_SQL, resolved
 
 HOUR = 3_600_000
@@ -98,33 +95,54 @@ def ring_hash(spark, d) -> DataFrame:
     return _keys(spark, d).select("key", H.ring_hash_hex(F.col("key")).alias("hash"), H.plain_shard(F.col("key"), 3).alias("plain_shard"))
 
 
+def _placed_sql(name: str, nodes: list[str]) -> str:
+    points = _hashed_sql(f"select n || '#' || i as t, n from (select unnest({nodes}) as n) cross join (select unnest(range(256)) as i)", f"{name}p")
+    return f"""{points}, {name}best as (select k.t, min(case when p.h >= k.h then p.h end) as up, min(p.h) as low from k cross join {name}p p group by k.t),
+    {name} as (select b.t, p.n as node from {name}best b join {name}p p on p.h = coalesce(up, low))"""
+
+
 @query(
     "ring_share",
-    f"""with {_hashed_sql(_KEYS, "k")}, {_hashed_sql("select n || '#' || i as t, n from (select unnest(['shard0', 'shard1', 'shard2']) as n) cross join (select unnest(range(256)) as i)", "p")},
-    best as (select k.t, min(case when p.h >= k.h then p.h end) as up, min(p.h) as low from k cross join p group by k.t),
-    own as (select p.n as node from best join p on p.h = coalesce(up, low)), c as (select node, count(*) as n_keys from own group by node)
+    f"""with {_hashed_sql(_KEYS, "k")}, {_placed_sql("own", NODES)}, c as (select node, count(*) as n_keys from own group by node)
     select node, n_keys, round(n_keys / (sum(n_keys) over ())::double, 9) as share from c""",
 )
 def ring_share(spark, d) -> DataFrame:
     return ring.ring_share(_keys(spark, d), NODES).withColumn("share", F.round("share", 9))
 
 
-@query("ring_moves")
+@query("ring_moves", f"""with {_hashed_sql(_KEYS, "k")}, {_placed_sql("x", NODES)}, {_placed_sql("y", [*NODES, "shard3"])}
+    select x.node as old, y.node as new, count(*) as n_keys from x join y on x.t = y.t where x.node <> y.node group by 1, 2""")
 def ring_moves(spark, d) -> DataFrame:
     return ring.ring_moves(_keys(spark, d), NODES, [*NODES, "shard3"])
 
 
-@query("sketch_estimate", f"with {LOG_SQL} select key, count(*) as n, true as enough from log group by key")
+@query("sketch_estimate", f"with {LOG_SQL} select key, count(*) as estimate from log group by key")
 def sketch_estimate(spark, d) -> DataFrame:
-    """True counts beside whether the sketch's estimate is at least as large."""
+    """Estimates of a sketch that is wide beside these few keys, so that the least of four cells is a key's own count."""
     rows = log(spark, d)
     cells = H.sketch_cells(F.col("key"))
-    estimates = A.sketch_estimates(rows, A.sketch(rows, cells), cells)
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    return counts.join(estimates, "key").select("key", "n", (F.col("estimate") >= F.col("n")).alias("enough"))
+    return A.sketch_estimates(rows, A.sketch(rows, cells), cells)
 
 
-@query("recent_keys", f"with {LOG_SQL} select key, min(seq) as first_seq from log group by key order by first_seq desc limit 20")
+@query("sketch_window", f"with {LOG_SQL}, s as (select *, at_ms // {24 * HOUR} as slice from log), m as (select max(slice) - 2 as moment from s) select k.key, count(s.seq) as estimate from (select distinct key from log) k cross join m left join s on s.key = k.key and s.slice <= moment and s.slice > moment - 6 group by k.key")
+def sketch_window(spark, d) -> DataFrame:
+    """The same over the last six slices before a moment: older slices have been cleared."""
+    rows = log(spark, d).withColumn("slice", F.floor(F.col("at_ms") / (24 * HOUR)).cast("long"))
+    cells = H.sketch_cells(F.col("key"))
+    at = rows.agg(F.max("slice")).first()[0]
+    return A.sketch_estimates(rows, A.sketch_at(A.sketch(rows, cells, "slice"), (at or 0) - 2, 6), cells)
+
+
+@query(
+    "recent_keys",
+    f"""with recursive {LOG_SQL}, e as (select shard, key, row_number() over (partition by shard order by seq) as i from log), s as (
+      select shard, i, [key] as held from e where i = 1
+      union all
+      select e.shard, e.i, case when list_contains(s.held, e.key) then s.held when len(s.held) >= 20 then list_append(s.held[2:], e.key) else list_append(s.held, e.key) end
+      from s join e on e.shard = s.shard and e.i = s.i + 1
+    ), last as (select shard, arg_max(held, i) as held from s group by shard), n as (select shard, held, unnest(range(len(held))) as place from last)
+    select shard, cast(place as integer) as place, held[place + 1] as key from n""",
+)
 def recent_keys(spark, d) -> DataFrame:
     return A.recent_keys(log(spark, d), 20)
 
@@ -164,15 +182,12 @@ def latency_sketch(spark, d) -> DataFrame:
 
 @query(
     "openloop_lateness",
-    f"""with {LOG_SQL}, r as (select shard, seq, at_ms * 1000 as s, at_ms * 1000 + (seq * 7919 % 5000) as e, row_number() over (partition by shard order by seq) - 1 as i from log),
+    f"""with {LOG_SQL}, r as (select shard, seq, at_ms * 1000 as s, at_ms * 1000 + (seq * 7919 % 5000) as e, seq // 3 as i from log),
     d as (select *, min(s) over (partition by shard) + i * 777600000 as due from r)
     select shard, seq, e - due as latency_us, s - due > 777600000 as behind from d""",
 )
 def openloop_lateness(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1
-    rows = log(spark, d).select("shard", "seq", (F.col("at_ms") * 1000).alias("started_us"), (F.col("at_ms") * 1000 + F.col("seq") * 7919 % 5000).alias("ended_us"), i.cast("long").alias("i"))
+    rows = log(spark, d).select("shard", "seq", (F.col("at_ms") * 1000).alias("started_us"), (F.col("at_ms") * 1000 + F.col("seq") * 7919 % 5000).alias("ended_us"), F.floor(F.col("seq") / 3).cast("long").alias("i"))
     return T.lateness(rows, 777_600_000, "shard").select("shard", "seq", "latency_us", "behind")
 
 
@@ -314,33 +329,58 @@ def bench_text(spark, d) -> DataFrame:
     return text.benchmarks(p.select(line.alias("value")))
 
 
+#: Statements of a log ({k}: a key) with their kind, what a read asks for, and whether they begin or end a transaction.
 STATEMENTS = [
-    "SELECT payload FROM entities WHERE id = 42",
-    "select payload, status from `entities` where id = ? limit 1",
-    "SELECT * FROM entities WHERE id = 42",
-    "select payload from entities where id > 42",
-    "select payload from entities where id in (1, 2)",
-    "select payload from entities where id = 1 or id = 2",
-    "select /* hint */ payload from entities where id = 7 -- tail\n",
-    "select /*!40001 sql_no_cache */ payload from entities where id = 7",
-    "update entities set status = 3 where id = 9",
-    "update entities set status = 3 where tenant_id = 9",
-    "update entities set payload = 'a where b' where id = 9",
-    "delete from entities where id = 11;",
-    "delete from entities",
-    "insert into entities (id) values (1)",
-    "select 1; delete from entities where id = 1",
-    "begin",
-    "select payload from other where id = 1",
+    ("SELECT id, tenant_id, status, payload, version FROM entities WHERE id = {k}", "point_select", "id,tenant_id,status,payload,version"),
+    ("select payload from app.entities where id = {k} limit 1", "point_select", "payload"),
+    ("SELECT `payload` FROM `entities` WHERE `id` = {k};", "point_select", "payload"),
+    ("SELECT status, payload FROM entities WHERE id = {k} -- AND tenant_id = 9", "point_select", "status,payload"),
+    ("SELECT * FROM entities WHERE id = {k}", "passthrough"),
+    ("SELECT updated_at FROM entities WHERE id = {k}", "passthrough"),
+    ("SELECT payload FROM entities WHERE id > {k}", "passthrough"),
+    ("SELECT payload FROM entities WHERE id IN ({k}, 2)", "passthrough"),
+    ("SELECT payload FROM entities WHERE id = {k} OR id = 2", "passthrough"),
+    ("SELECT COUNT(*) FROM entities WHERE id = {k}", "passthrough"),
+    ("SELECT payload FROM entities WHERE id = {k} FOR UPDATE", "passthrough"),
+    ("SELECT payload FROM entities WHERE id = {k}; DROP TABLE entities", "passthrough"),
+    ("SELECT /*!40001 SQL_NO_CACHE */ payload FROM entities WHERE id = {k}", "passthrough"),
+    ("SELECT payload FROM entities WHERE id = --{k}", "passthrough"),
+    ("UPDATE entities SET status = 1, payload = ~x~ WHERE id = {k}", "point_write"),
+    ("update `app`.`entities` set payload = ~a where b~ where id = {k}", "point_write"),
+    ("delete from `entities` where `id` = {k};", "point_write"),
+    ("UPDATE entities SET status = 1 WHERE tenant_id = {k}", "opaque_write"),
+    ("TRUNCATE TABLE entities", "opaque_write"),
+    ("INSERT IGNORE INTO app.entities (id) VALUES ({k})", "opaque_write"),
+    ("REPLACE INTO entities (id) VALUES ({k})", "opaque_write"),
+    ("UPDATE orders SET status = 1 WHERE id = {k}", "passthrough"),
+    ("BEGIN", "passthrough", None, "begins"),
+    ("select payload from entities where id = {k} and id = 2", "passthrough"),
+    ("UPDATE entities SET status = ?, payload = ~?~ WHERE id = ?", "point_write"),
+    ("COMMIT", "passthrough", None, "ends"),
+    ("SELECT payload FROM entities WHERE id = 99999999999999999999{k}", "passthrough"),
+    ("truncate entities", "opaque_write"),
+    ("SELECT payload FROM entities WHERE id = {k} UNION SELECT payload FROM entities WHERE id = 43", "passthrough"),
+    ("SELECT payload FROM entities", "passthrough"),
+    ("DELETE FROM entities", "opaque_write"),
 ]
-KINDS = ["point_select", "point_select", *["passthrough"] * 4, "point_select", "passthrough", "point_write", "opaque_write", "opaque_write", "point_write", "opaque_write", "opaque_write", *["passthrough"] * 3]
+_KINDS = ", ".join(f"({i}, '{k}', {repr(c[0]) if c and c[0] else 'null'}, {repr(c[1]) if len(c) > 1 else 'null'})" for i, (_, k, *c) in enumerate(STATEMENTS))
 
 
-@query("classify_sql", " union all ".join(f"select {i} as seq, '{k}' as kind, '{'refused' if k == 'opaque_write' else 'cache' if k == 'point_select' and i % 2 == 0 else 'origin'}' as served_by" for i, k in enumerate(KINDS)))
+@query(
+    "classify_sql",
+    f"""with t(n, kind, columns, tx) as (values {_KINDS}), s as (select o_orderkey as seq, o_custkey % 50 as connection, t.* from orders join t on t.n = o_orderkey % {len(STATEMENTS)}),
+    x as (select *, coalesce(last_value(case tx when 'begins' then true when 'ends' then false end ignore nulls) over (partition by connection order by seq rows between unbounded preceding and 1 preceding), false) as in_tx from s)
+    select seq, kind, columns, case when kind in ('point_select', 'point_write') then 'entities:' || seq end as key_text, in_tx,
+      case when kind = 'opaque_write' then 'refused' when kind = 'point_select' and not in_tx then 'cache' else 'origin' end as served_by, kind = 'point_write' as invalidates from x""",
+)
 def classify_sql(spark, d) -> DataFrame:
-    rows = spark.createDataFrame([(i, s, i % 2 == 1) for i, s in enumerate(STATEMENTS)], "seq int, sql string, in_tx boolean")
-    out = statements.routed(statements.classify(rows, "entities", "id", ["id", "tenant_id", "status", "payload", "version"]))
-    return out.select("seq", "kind", "served_by")
+    """A statement for each order, of the kinds above, with the order's number as its key, over 50 connections."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.get(F.array(*(F.lit(t.replace("~", "'")) for t, *_ in STATEMENTS)), (F.col("o_orderkey") % len(STATEMENTS)).cast("int"))
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 50).alias("connection"), F.replace(text, F.lit("{k}"), key).alias("sql"), F.array(F.lit("7"), key).alias("args"))
+    out = statements.in_transactions(statements.classify(rows, "entities", "id", ["id", "tenant_id", "status", "payload", "version"]))
+    out = statements.routed(statements.bound_keys(out, "entities"))
+    return out.select("seq", "kind", F.array_join("columns", ",").alias("columns"), "key_text", "in_tx", "served_by", "invalidates")
 
 
 @query("json_version", "select event_id, try_cast(json_extract_string(props, '$.k') as decimal(20,0)) as version from events")
@@ -364,41 +404,57 @@ def workload_zipf(spark, d) -> DataFrame:
     return rows.groupBy("key", "op").agg(F.count("*").alias("n"))
 
 
-def _scratch(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _event_stream(spark, d) -> DataFrame:
+def _event_stream(spark, d, per_batch: int = 1000) -> DataFrame:
     """The events table as a stream. A file source reads folders, so the table is copied to one, in four files."""
-    folder = _scratch(spark, "events")
+    folder = scratch(spark, "events")
     events = load(spark, d, "events")
     events.repartition(4, "user_id").write.parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
 @query("stream_fold", f"with {STATE_SQL} select key, rv, fv, tv, live from state")
 def stream_fold(spark, d) -> DataFrame:
-    """The fold as a stream that takes what is there: the same state as the batch fold."""
-    out = _scratch(spark, "stream-fold")
-    folds.run_once(folds.fold_stream(writes_of(log_of(_event_stream(spark, d)))), out, _scratch(spark, "stream-checkpoint"))
-    return spark.read.parquet(out)
+    """The fold as a stream that takes what is there, in two micro-batches: the same state as the batch fold."""
+    out = scratch(spark, "stream-fold")
+    folds.run_once(folds.fold_stream(writes_of(log_of(_event_stream(spark, d, 2)))), out, scratch(spark, "stream-checkpoint"))
+    return folds.latest(spark, out, "key string, rv long, fv long, tv long, live boolean", "key")
 
 
-@query("stream_dwell")
+@query(
+    "stream_dwell",
+    f"""with recursive {RATIO_SQL}, r as (select key, slice, ratio, row_number() over (partition by key order by slice) as i from rated), s as (
+      select key, i, slice, case when ratio < 0.6 then false else true end as admitted, case when ratio < 0.6 then slice end as since from r where i = 1
+      union all
+      select key, i, slice, case when turned then wanted else was end, case when turned then slice else since end from (
+        select *, wanted <> was and (since is null or slice - since >= 3) as turned from (
+          select r.key, r.i, r.slice, s.admitted as was, s.since, case when r.ratio >= 0.9 then true when r.ratio < 0.6 then false else s.admitted end as wanted
+          from s join r on r.key = s.key and r.i = s.i + 1))
+    ) select key, slice, admitted from s""",
+)
 def stream_dwell(spark, d) -> DataFrame:
     """Admission with a dwell time over a stream of ratios."""
-    folder, out = _scratch(spark, "ratios"), _scratch(spark, "stream-dwell")
+    folder, out = scratch(spark, "ratios"), scratch(spark, "stream-dwell")
     ratios(spark, d).select("key", "slice", "ratio").write.parquet(folder)
-    stream = spark.readStream.schema("key string, slice long, ratio double").parquet(folder)
-    folds.run_once(stateful.with_dwell(stream, 0.9, 0.6, 3), out, _scratch(spark, "stream-checkpoint"), "append")
-    return spark.read.parquet(out)
+    stream = spark.readStream.schema("key string, slice long, ratio double").option("maxFilesPerTrigger", 1000).parquet(folder)
+    folds.run_once(stateful.with_dwell(stream, 0.9, 0.6, 3), out, scratch(spark, "stream-checkpoint"), "append")
+    return spark.read.schema("key string, slice long, admitted boolean").parquet(f"{out}/*")
 
 
-@query("stream_tokens")
+@query(
+    "stream_tokens",
+    f"""with recursive {LOG_SQL}, w as (select session, shard, version, row_number() over (partition by session order by seq) as i from log where op <> 'get'), s as (
+      select session, i, [{{'s': shard, 'v': version}}] as held, false as dropped from w where i = 1
+      union all
+      select session, i, case when len(token) > 2 then token[2:] else token end, dropped or len(token) > 2 from (
+        select w.session, w.i, s.dropped, list_append(list_filter(s.held, lambda x: x.s <> w.shard),
+          {{'s': w.shard, 'v': greatest(w.version, coalesce(list_filter(s.held, lambda x: x.s = w.shard)[1].v, 0))}}) as token
+        from s join w on w.session = s.session and w.i = s.i + 1)
+    ), last as (select session, arg_max(held, i) as held, arg_max(dropped, i) as degraded from s group by session)
+    select session, u.h.s as shard, u.h.v as watermark, degraded from (select session, degraded, unnest(held) as h from last) u""",
+)
 def stream_tokens(spark, d) -> DataFrame:
     """Session tokens of at most two shards, the least recently advanced dropped, over a stream."""
-    out = _scratch(spark, "stream-tokens")
+    out = scratch(spark, "stream-tokens")
     rows = log_of(_event_stream(spark, d)).where("op <> 'get'").select("session", "seq", "shard", "version")
-    folds.run_once(stateful.token_stream(rows, 2), out, _scratch(spark, "stream-checkpoint"), "append")
-    return spark.read.parquet(out)
+    folds.run_once(stateful.token_stream(rows, 2), out, scratch(spark, "stream-checkpoint"))
+    return folds.latest(spark, out, "session string, shard string, watermark long, degraded boolean", "session")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import projection
 from ..operators import verifier as V
-from .base import LOG_SQL, STATE_SQL, load, log, ops, query
+from .base import LOG_SQL, STATE_SQL, load, log, ops, query, scratch
 from .read_queries import MARKED_SQL, marked
 
 HOUR = 3_600_000
@@ -139,3 +139,44 @@ def violation_traces(spark, d) -> DataFrame:
     bad = classified(spark, d).where(F.size("levels") > 0).select("seq", "key")
     out = V.violation_traces(bad, log(spark, d).where("op <> 'get'"), 4)
     return out.select("seq", "key", F.array_join(F.transform("trace", lambda x: F.concat_ws(":", x["seq"], x["op"])), ",").alias("trace"))
+
+
+STATS_SQL = JUDGED_SQL + """, stats as (
+  select shard, count(distinct seq // 100) as rounds, count(*) as checked, cast(sum(case when late then 1 + low::int + old::int else 0 end) as bigint) as violations, 0 as errors
+  from judged join (select seq as s, shard from log) on s = seq group by shard
+)"""
+
+
+def stats(spark, d) -> DataFrame:
+    rows = classified(spark, d).withColumn("round", F.floor(F.col("seq") / 100))
+    return V.round_stats(rows, "shard")
+
+
+@query("round_stats", f"with {STATS_SQL} select shard, rounds, checked, violations, cast(errors as bigint) as errors from stats")
+def round_stats(spark, d) -> DataFrame:
+    return stats(spark, d)
+
+
+@query("false_positive_rate", f"with {STATS_SQL} select shard, checked, violations, round(violations / checked::double, 9) as rate, violations / checked::double <= 0.01 as acceptable, true as shadow_mode from stats")
+def false_positive_rate(spark, d) -> DataFrame:
+    out = V.shadow(V.false_positive_rate(stats(spark, d)))
+    return out.select("shard", "checked", "violations", F.round("rate", 9).alias("rate"), "acceptable", "shadow_mode")
+
+
+@query("sampling_rounds", "select 'entities:' || c_custkey as key, c_custkey // 100 as round, c_custkey // 100 * 1000 as at_ms from customer")
+def sampling_rounds(spark, d) -> DataFrame:
+    keys = load(spark, d, "customer").select(F.concat(F.lit("entities:"), "c_custkey").alias("key"), F.col("c_custkey").alias("i"))
+    return V.sampling_rounds(keys)
+
+
+@query("stream_behind", f"with {OBSERVED_SQL} select seq, key, at_ms, since as behind_since_ms from timed")
+def stream_behind(spark, d) -> DataFrame:
+    """The behind timer over a stream of observations: the same as the batch form."""
+    from ..streaming import folds, stateful
+
+    folder, out = scratch(spark, "observations"), scratch(spark, "stream-behind")
+    rows = observations(spark, d).select("key", "at_ms", "seq", "behind")
+    rows.write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(folder)
+    folds.run_once(stateful.behind_stream(stream), out, scratch(spark, "stream-checkpoint"), "append")
+    return spark.read.schema("key string, at_ms long, seq long, behind_since_ms long").parquet(f"{out}/*").select("seq", "key", "at_ms", "behind_since_ms")

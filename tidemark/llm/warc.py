@@ -39,16 +39,15 @@ RECORD = "record_id string, record_type string, target_uri string, refers_to str
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, record_type, refers_to for every row. Payloads of min_bytes or more are stored once."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), text_bytes(html_col).alias("payload"))
-    large = rows.where(F.octet_length("payload") >= min_bytes).withColumn("digest", F.sha1("payload"))
+    # A smaller payload has a key of its own that matches nothing, so that these rows are spread.
+    alone = F.concat(F.lit("alone:"), F.xxhash64("page_id", "url", "payload").cast("string"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")).otherwise(alone))
     # max() is combined before the shuffle, so a payload that a third of the rows share is one row per task; only
-    # payloads that occur again take part in the join, whose crowded keys adaptive execution splits. Smaller payloads
-    # don't pass through it at all.
-    first = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = large.join(first, "digest", "left")
+    # payloads that occur again take part in the join, whose crowded keys adaptive execution splits.
+    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.join(first, "digest", "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    decided = joined.select("page_id", "url", "payload", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
-    small = rows.where(F.octet_length("payload") < min_bytes)
-    return decided.unionByName(small.select("page_id", "url", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
+    return rows.select("page_id", "url", "payload", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
 
 
 def record_id(page_id: int | None, salt: str = "") -> str:

@@ -103,3 +103,14 @@ def histogram_quantile(buckets: DataFrame, q: float, by: list[str]) -> DataFrame
     rows = rows.withColumn("rank", F.max("n").over(whole) * q).where((F.col("n") >= F.col("rank")) & (F.col("below") < F.col("rank")))
     inside = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("n") - F.col("below"))
     return rows.groupBy(*by).agg(F.min(inside).alias("quantile"))
+
+
+def quick_bench(log: DataFrame, hit_us: int = 500, miss_us: int = 5000) -> DataFrame:
+    """What a cache would have done for a request log (seq, at_ms, key, op): a read is a hit if its key was read or put since
+    its last delete. One row: reads, hits, hit_rate, origin_qps, and percentiles of modelled latencies."""
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.last("op").over(before) != "delete", F.lit(False))
+    rows = log.withColumn("outcome", F.when(known, "hit").otherwise("miss")).where("op = 'get'")
+    rows = rows.withColumn("us", F.when(F.col("outcome") == "hit", hit_us).otherwise(miss_us))
+    rates = hit_rate(rows).crossJoin(origin_qps(rows).select("origin_qps"))  # one row each
+    return rates.crossJoin(at_ranks(rows, "us", [], {n: F.ceil(F.col("n") * q) for n, q in PERCENTILES.items() if n != "p999"}))

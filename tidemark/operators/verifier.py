@@ -111,3 +111,13 @@ def false_positive_rate(stats: DataFrame, most: float = 0.01) -> DataFrame:
 def shadow(measured: DataFrame, on: bool = True) -> DataFrame:
     """The same figures with the label of a shadow run, which measures and changes nothing."""
     return measured.withColumn("shadow_mode", F.lit(on))
+
+
+def inspect(keys: DataFrame, entries: DataFrame, origin: DataFrame) -> DataFrame:
+    """keys (key) with what the cache (key, rv, fv, live) and the origin (key, version) hold of each, and what that means:
+    absent, not_cached, orphaned (cached, no row), behind, current."""
+    cached = entries.where("live").select("key", "rv", "fv")
+    rows = keys.select("key").distinct().join(cached, "key", "left").join(origin.select("key", F.col("version").alias("origin_version")), "key", "left")
+    has, exists = F.col("rv").isNotNull(), F.col("origin_version").isNotNull()
+    state = F.when(~has & ~exists, "absent").when(~has, "not_cached").when(~exists, "orphaned").when(F.col("rv") < F.col("origin_version"), "behind").otherwise("current")
+    return rows.withColumn("state", state)

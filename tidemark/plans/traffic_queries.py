@@ -116,6 +116,23 @@ def ring_moves(spark, d) -> DataFrame:
     return ring.ring_moves(_keys(spark, d), NODES, [*NODES, "shard3"])
 
 
+@query("locate_keys", f"""with {_hashed_sql(_KEYS, "k")}, {_placed_sql("own", NODES)} select t as key, node from own""")
+def locate_keys(spark, d) -> DataFrame:
+    return ring.placed(_keys(spark, d), NODES)
+
+
+@query(
+    "quick_bench",
+    f"""with {LOG_SQL}, b as (select *, lag(op) over (partition by key order by seq) as was from log),
+    r as (select *, coalesce(was <> 'delete', false) as hit, case when was <> 'delete' then 500 else 5000 end as us from b where op = 'get')
+    select count_if(hit) as hits, count(*) as reads, round(count_if(hit) / count(*)::double, 9) as hit_rate, round(count_if(not hit) / ((max(at_ms) - min(at_ms)) / 1000.0), 9) as origin_qps,
+      quantile_disc(us, 0.5) as p50, quantile_disc(us, 0.9) as p90, quantile_disc(us, 0.99) as p99 from r""",
+)
+def quick_bench(spark, d) -> DataFrame:
+    out = T.quick_bench(log(spark, d))
+    return out.withColumn("hit_rate", F.round("hit_rate", 9)).withColumn("origin_qps", F.round("origin_qps", 9))
+
+
 @query("sketch_estimate", f"with {LOG_SQL} select key, count(*) as estimate from log group by key")
 def sketch_estimate(spark, d) -> DataFrame:
     """Estimates of a sketch that is wide beside these few keys, so that the least of four cells is a key's own count."""

@@ -180,3 +180,16 @@ def stream_behind(spark, d) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(folder)
     folds.run_once(stateful.behind_stream(stream), out, scratch(spark, "stream-checkpoint"), "append")
     return spark.read.schema("key string, at_ms long, seq long, behind_since_ms long").parquet(f"{out}/*").select("seq", "key", "at_ms", "behind_since_ms")
+
+
+@query(
+    "inspect_keys",
+    f"""with {STATE_SQL}, o as (select key, max(version) as version from ops where op = 'tombstone' and seq % 3 <> 0 group by key), e as (select key, rv, fv from state where live)
+    select k.key, e.rv, e.fv, o.version as origin_version, case when e.rv is null and o.version is null then 'absent' when e.rv is null then 'not_cached' when o.version is null then 'orphaned' when e.rv < o.version then 'behind' else 'current' end as state
+    from (select distinct key from log) k left join e on e.key = k.key left join o on o.key = k.key""",
+)
+def inspect_keys(spark, d) -> DataFrame:
+    from ..operators.state import fold_state
+
+    origin = ops(spark, d).where("op = 'tombstone' and seq % 3 <> 0").groupBy("key").agg(F.max("version").alias("version"))
+    return V.inspect(log(spark, d), fold_state(ops(spark, d)), origin)

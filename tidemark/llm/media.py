@@ -27,7 +27,9 @@ BLOCK = 64
 #: Frequent bytes of text, most frequent first; they get the coefficients nearest to 0. The others follow by value.
 FREQUENT = b" enthairosd\xc3ulc.gb,fwy\xa9mpvkjzqx\nESTAID"
 #: Bytes of payload that are coded together.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Rows that are unpacked together.
+ROWS = 500
 
 
 def byte_map() -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +64,13 @@ def _in_chunks(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows, so that few payloads and files are unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def store_payloads(rows: DataFrame, payload_col: str, keep: list[str], length_col: str | None = None, media_col: str = "media") -> DataFrame:
     """The columns `keep` and media_col. Payloads have a positive multiple of 64 bytes (`padded`); length_col, the
     number of bytes before padding, goes into the file's comment beside the payload's."""
@@ -70,7 +79,7 @@ def store_payloads(rows: DataFrame, payload_col: str, keep: list[str], length_co
     schema = StructType([*own.schema.fields[: len(keep)], StructField(media_col, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             payloads, lengths = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
             payloads = [p or bytes(BLOCK) for p in payloads]
             for part in _in_chunks([len(p) for p in payloads], CHUNK):
@@ -120,7 +129,7 @@ def _decode(rows: DataFrame, keep: list[str], media_col: str, payload: bool, pix
     kinds = {"payload": pa.binary(), "n_bytes": pa.int64(), "feature": pa.string(), "height": pa.int32(), "width": pa.int32(), "rgb": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             media = batch.column(len(keep)).to_pylist()
             for part in _in_chunks([len(m or b"") for m in media], CHUNK // 2):
                 some = batch.slice(part.start, part.stop - part.start)

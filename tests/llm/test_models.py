@@ -38,6 +38,16 @@ def test_features():
     assert toxicity._measure(None, hits, lexicon) == toxicity._measure("", hits, lexicon) == [0.0] * len(toxicity.FEATURES)
 
 
+def test_many_hits():
+    """The nearest pair by hand, in texts of few and of very many hits."""
+    lexicon = {"idiot": 3.0}
+    hits = toxicity.finder([*lexicon, *toxicity.SECOND_PERSON])
+    near = lambda t: toxicity._measure(t, hits, lexicon)[toxicity.FEATURES.index("second_person_near")]
+    assert near("you a b idiot") == near("idiot é 🎯 you") == 1 / 4 and near("idiot a you b c d idiot") == 1 / 3
+    assert near("you " + "idiot " * 300_000) == 1 / 2 and near("you idiot " * 300_000) == 1 / 2
+    assert near("you" + " x" * 300_000 + " idiot" * 300_000) == pytest.approx(1 / 300_002)
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (99, 1), (3, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)

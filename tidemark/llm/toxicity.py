@@ -58,13 +58,7 @@ def _measure(text: str | None, hits, lexicon: dict[str, float]) -> list[float]:
     found = hits(low)
     own = [(at, w) for at, w in found if w in lexicon]
     you = [at for at, w in found if w in _SECOND]
-    near = 0.0
-    if own and you:
-        places = np.array(you)
-        for at, _ in own:
-            k = int(np.abs(places - at).argmin())
-            a, b = sorted((at, int(places[k])))
-            near = max(near, 1.0 / (1 + low.count(" ", a, b)))
+    near = _nearness(low, [at for at, _ in own], you) if own and you else 0.0
     disguised = _DISGUISED(low)
     plain = sum(1 for w in disguised if w.translate(DISGUISES) in lexicon)
     total = sum(lexicon[w] for _, w in own)
@@ -72,6 +66,18 @@ def _measure(text: str | None, hits, lexicon: dict[str, float]) -> list[float]:
     return [len(own) / n, total / n, max((lexicon[w] for _, w in own), default=0.0), float(np.log1p(len(own))), float(len({w for _, w in own})), near, len(you) / n, upper / letters, marks / n, counts[33] / n, digits / n, float(plain), len(disguised) / n, float(np.log1p(n)), counts[192:].sum() / letters]
 
 
+def _nearness(low: str, own: list[int], you: list[int]) -> float:
+    """1 / (1 + spaces between) for the lexicon word that has fewest spaces between itself and its nearest second person.
+    Both lists ascend; sorted look-ups keep texts of very many hits linear, but for a logarithm."""
+    hits, places = np.array(own), np.array(you)
+    right = np.searchsorted(places, hits).clip(1, max(1, len(places) - 1)) if len(places) > 1 else np.zeros(len(hits), np.int64)
+    left = np.maximum(right - 1, 0)
+    nearest = np.where(np.abs(places[left] - hits) <= np.abs(places[right] - hits), places[left], places[right])
+    spaces = np.flatnonzero(np.frombuffer(low.encode("utf-32-le"), "<u4") == 32)
+    between = np.abs(np.searchsorted(spaces, nearest) - np.searchsorted(spaces, hits))
+    return 1.0 / (1 + int(between.min()))
+
+
 _SECOND = frozenset(SECOND_PERSON)
 _DISGUISED = re.compile(r"(?:[a-z]+[0-9@$!](?=[a-z0-9@$])|[0-9@$]+[a-z])[a-z0-9@$!]*").findall
 
@@ -99,14 +105,18 @@ def finder(words: list[str]):
 def features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """row, a struct of the columns `keep`, and features, an array of doubles."""
     ship(docs.sparkSession)
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row") if keep else F.lit(None).cast("int").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row") if keep else F.lit(None).cast("int").alias("row")
+    # A text that the row holds already goes to Python once.
+    within = list(keep).index(text_col) if text_col in keep else None
+    own = docs.select(row) if within is not None else docs.select(row, F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = finder([*lexicon, *SECOND_PERSON])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                rows = [_measure(t, hits, lexicon) for t in some.column(1).to_pylist()]
+                texts = some.column(1) if within is None else some.column(0).flatten()[within]
+                rows = [_measure(t, hits, lexicon) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["row", "features"])
 
     return own.mapInArrow(run, StructType([own.schema["row"], StructField("features", ArrayType(DoubleType()))]))

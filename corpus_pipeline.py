@@ -42,7 +42,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3 in turn; a document is a row for each time that the mix takes it."""
-    return _sized(mix(docs).drop("mix_copy", "mix_shard", "mix_place"))
+    return _sized(mix(docs, places=False))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

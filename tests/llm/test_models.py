@@ -295,8 +295,16 @@ def test_shards_hold_the_mix(spark, documents):
     same_id = documents.withColumn("doc_id", F.lit(None).cast("long"))
     blocks = mixing.plan_mix(same_id, blocks_per_source=64).select(F.explode("draws").alias("d")).select("d.place").distinct().count()
     assert blocks > documents.select("text").distinct().count() / 2
-    with pytest.raises(ValueError):
-        mixing.mix(documents.withColumn("mix_shard", F.lit(1)))
+
+
+def test_mix_columns_that_clash(spark, odd):
+    """The mix's own columns replace those named like them; without places all of docs' columns come back as they were."""
+    docs = odd.withColumn("mix_shard", F.lit("mine")).withColumn("Mix_Place", F.col("doc_id")).withColumn("mix_draw", F.lit(7))
+    out = mixing.mix(docs, shard_levels=2)
+    assert out.columns == [*odd.columns, "mix_draw", "mix_copy", "mix_shard", "mix_place"] and out.where("mix_shard not between 0 and 3").isEmpty()
+    kept = mixing.mix(docs, shard_levels=2, places=False)
+    assert kept.columns == docs.columns and kept.count() == out.count() > 0
+    assert kept.where("mix_shard <> 'mine' or mix_draw <> 7 or not (Mix_Place <=> doc_id)").isEmpty()
 
 
 def test_splitting_tree(spark):

@@ -17,7 +17,8 @@ it through an equi-join. It suits up to thousands of sources; group smaller ones
 
 Defined cases: null text is empty (size 0, taken 0); the null source is a source, the last; null ids are kept; rows
 that are equal in id and text follow one another in hash order; an empty table gives no rows; all sizes 0 give targets of
-0; other columns pass through untouched, whatever their names, but mix() refuses those named like its own three.
+0; other columns pass through untouched, whatever their names, but mix()'s own three replace those named like them; with
+places=False it adds none and all pass through.
 """
 
 from __future__ import annotations
@@ -165,17 +166,19 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *(["row"] if keep_columns else []))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixed documents: each copy is a row with docs' columns (the cut copy's text ends after its last word) and
-    mix_copy, mix_shard, mix_place. Partitioned by shard, in the shard's shuffled order."""
-    taken = {"mix_copy", "mix_shard", "mix_place"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs have columns named like the mix's: {sorted(taken)}")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, places: bool = True, **how) -> DataFrame:
+    """The mixed documents: each copy is a row with docs' columns (the cut copy's text ends after its last word) and, with
+    places, mix_copy, mix_shard, mix_place. Partitioned by shard, in the shard's shuffled order."""
+    own = {"mix_copy": "copy", "mix_shard": "shard", "mix_place": "place"} if places else {}
+    keep = [c for c in docs.columns if c.lower() not in own]
+    # The draw travels under a name that no column has.
+    draw = "mix_draw" + "_" * max(map(len, docs.columns))
     plan = plan_mix(docs, id_col, text_col, source_col, keep_columns=True, **how)
     rows = plan.withColumn("d", F.explode("draws"))
     # The text splits behind each word; the first k parts are k words with the white space before them.
     parts = F.split(F.col(f"row.`{text_col}`"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     head = F.array_join(F.slice(parts, 1, F.col("d.words").cast("int")), "")
     text = F.when(F.col("d.words") < F.col("size"), head).otherwise(F.col(f"row.`{text_col}`"))
-    out = rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns), F.col("d.copy").alias("mix_copy"), F.col("d.shard").alias("mix_shard"), F.col("d.place").alias("mix_place"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    out = rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in keep), F.col("d").alias(draw))
+    out = out.repartition(F.col(f"{draw}.shard")).sortWithinPartitions(f"{draw}.shard", f"{draw}.place")
+    return out.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"{draw}.{part}").alias(c) for c, part in own.items()))
